@@ -1,0 +1,6 @@
+"""The registered queries of the library and, beside each, SQL for another engine."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
