@@ -1,0 +1,50 @@
+"""What the operators of this subpackage share: folders, written tables, small helpers."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Separators of words: space and the five ASCII control blanks. bytes.split() cuts at just these.
+BLANK = r"[\x20\x09-\x0D]+"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
+
+    It is the one the session names in spark.checkpoint.dir. Only where that is
+    unset (tests on one machine) is a folder of our own made and set.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = f"file://{tempfile.mkdtemp(prefix='tabulith-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the files of frames from written() that no later plan reads."""
+    for frame in frames:
+        for file in frame.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
