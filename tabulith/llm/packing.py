@@ -132,7 +132,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 409
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer, keeps_blanks=False), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer, keeps_blanks=False)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity)
         held: dict[int, tuple] = {}  # documents with pieces that wait for a window
         number = 0
@@ -154,13 +154,17 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 409
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            doc_ids, row = batch.column(0).to_pylist(), 0
+            for texts in slices(batch.column(1)):
                 out = []
-                for doc_id, raw in zip(ids[a:b], enc.ids(texts[a:b]), strict=True):
-                    held[number] = (doc_id, raw + end)
-                    out += packer.add(number, len(raw) // 4 + 1)
+                ids, ends = enc.encode(texts, end_id)
+                raw, begin = ids.tobytes(), 0
+                for doc_id, end in zip(doc_ids[row : row + len(texts)], (ends * 4).tolist(), strict=True):
+                    held[number] = (doc_id, raw[begin:end])
+                    out += packer.add(number, (end - begin) // 4)
                     number += 1
+                    begin = end
+                row += len(texts)
                 if out:
                     yield rows(out)
                     waits = {d for d, _, _ in packer.waiting}

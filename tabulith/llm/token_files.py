@@ -38,25 +38,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, keeps_blanks=True)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                raw = [x + end for x in enc.ids(texts[a:b])]
-                n = np.array([len(x) // 4 for x in raw], np.int64)
-                ends = np.cumsum(n)
-                values = pa.array(np.frombuffer(b"".join(raw), "<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+            row = 0
+            for texts in slices(batch.column(1)):
+                ids, ends = enc.encode(texts, end_id)
+                n = np.diff(ends, prepend=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), ids],
+                    [batch.column(0).slice(row, len(texts)), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), lists],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "ids"],
                 )
-                at += int(ends[-1])
+                row += len(texts)
+                at += len(ids)
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", F.crc32("text"), "text")
+        .sortWithinPartitions("doc_id", "text")
     )
     (
         ordered.mapInArrow(encode, SCHEMA)

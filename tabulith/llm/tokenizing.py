@@ -8,8 +8,11 @@ the text. Each distinct piece is encoded once and kept in a bounded memo.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; at the bound the memo starts anew.
 MEMO_ENTRIES = 1_000_000
@@ -18,7 +21,7 @@ JOINED = 512
 
 
 class Encoder:
-    """ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
+    """encode(texts) gives the ids of all texts in one array, and where each text's ids end.
 
     keeps_blanks: the tokenizer is of the byte-level kind, where a space belongs to the
     word after it and runs of blanks are tokens. Otherwise blanks only separate.
@@ -35,49 +38,93 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.between = "\n" if keeps_blanks else " ~ "
         (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.feed = self._plain(["\n"])[0]
+        self.stops = dict(zip(".,", self._plain([".", ","]), strict=True))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _clean(self, piece: str) -> bool:
-        return not self.keeps_blanks or bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, each as it stands after a space."""
-        mark, lead = self.between.strip(" "), " " if self.keeps_blanks else ""
-        alone = [x for x in pieces if mark in x or not x]
-        self.memo.update(zip(alone, self._plain([lead + x for x in alone]), strict=True))
-        rest = [x for x in pieces if x and mark not in x]
+        """Whether it stands alone: no blank at its ends, but for the line feed that a line's first piece starts with."""
+        word = piece.removeprefix("\n")
+        return not self.keeps_blanks or bool(word) and not word[0].isspace() and not word[-1].isspace()
+
+    def _encode(self, pieces: list[str], lead: str) -> list[bytes]:
+        """The ids of each piece, where lead stands before it; many in one call of the library."""
+        mark = self.between.strip(" ")
+        out = [b""] * len(pieces)
+        alone = [i for i, x in enumerate(pieces) if mark in x or not x or x != x.strip()]
+        for i, ids in zip(alone, self._plain([lead + pieces[i] for i in alone]), strict=True):
+            out[i] = ids
+        rest = sorted(set(range(len(pieces))).difference(alone))
         groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
-        joined = [lead + (self.between + lead).join(g) for g in groups]
+        joined = [lead + (self.between + lead).join([pieces[i] for i in g]) for g in groups]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             raw, at = ids.tobytes(), 0
-            for piece, end in zip(group, [*(np.flatnonzero(ids == self.between_id) * 4).tolist(), len(raw)], strict=True):
-                self.memo[piece] = raw[at:end]
+            for i, end in zip(group, [*(np.flatnonzero(ids == self.between_id) * 4).tolist(), len(raw)], strict=True):
+                out[i] = raw[at:end]
                 at = end + 4
+        return out
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember new pieces. Where letters end, a stop or comma is a token of its own: only the letters are encoded."""
+        memo, stops = self.memo, self.stops
+        ended = [x for x in pieces if x[-1:] in stops and x[-2:-1].isalpha()]
+        rest = [x for x in pieces if x[-1:] not in stops or not x[-2:-1].isalpha()]
+        rest += {x[:-1] for x in ended if x[:-1] not in memo}.difference(rest)
+        if self.keeps_blanks:
+            starts = [x for x in rest if x[0] == "\n"]
+            memo.update(zip(starts, [self.feed + x for x in self._encode([x[1:] for x in starts], "")], strict=True))
+            rest = [x for x in rest if x[0] != "\n"]
+        memo.update(zip(rest, self._encode(rest, " " if self.keeps_blanks else ""), strict=True))
+        memo.update([(x, memo[x[:-1]] + stops[x[-1]]) for x in ended])
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (unsigned 32-bit) of all texts, each with end_id at its end, and the ends of the texts in them."""
         if len(self.memo) > self.memo_entries:
             self.memo.clear()
+        # a line feed ends a piece, and where blanks matter starts the next
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " \n" if self.keeps_blanks else " "), " ")
+        first, after = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
         memo = self.memo
-        pieces = [(x or "").split(" ") for x in texts]
-        new = {p for ps in pieces for p in (ps[1:] if self.keeps_blanks else ps) if p not in memo}
-        self._learn([p for p in new if self._clean(p)])
-        if not self.keeps_blanks:
-            return [b"".join([memo[p] for p in ps]) for ps in pieces]
-        heads = self._plain([ps[0] for ps in pieces])
-        out = []
-        for text, ps, head in zip(texts, pieces, heads, strict=True):
-            try:
-                # a first piece that ends in a blank would not be cut off from the space after it
-                if len(ps) > 1 and ps[0] and ps[0][-1].isspace():
-                    raise KeyError
-                out.append(head + b"".join([memo[p] for p in ps[1:]]))
-            except KeyError:
-                out.append(b"".join(self._plain(self._glued(ps))) if text else b"")
-        return out
+        known = list(map(memo.get, words))
+        new = [i for i, x in enumerate(known) if x is None]
+        self._learn([w for w in map(words.__getitem__, new) if self._clean(w)])
+        for i in new:
+            known[i] = memo.get(words[i])
+        if self.keeps_blanks:
+            heads = [words[i] for i in at[first].tolist()]
+            unclean = np.fromiter((x is None for x in known), bool, len(known))
+            odd = unclean[at]
+            odd[first] = [x[-1:].isspace() for x in heads]  # not cut off from the space after it
+            alone = after - first == 1
+            odd[first[alone]] = False
+            slow = np.flatnonzero(np.logical_or.reduceat(odd, first)) if len(first) else first
+            starts = self._encode(heads, "")
+            for i in slow.tolist():
+                starts[i] = b"".join(self._plain(self._glued(texts[i].as_py().split(" "))))
+            # a text's first piece, or all of an odd text, stands as an entry of its own
+            at[first] = len(known) + np.arange(len(first))
+            for i in slow.tolist():
+                at[first[i] + 1 : after[i]] = len(known) + len(first)
+            known = [x or b"" for x in known] + starts + [b""]
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        table, begin = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        # end_id goes behind the last word of each text
+        n = np.zeros(len(at) + len(first), np.int32)  # a text, and so a slice, has under 2**31 bytes
+        source = np.zeros(len(n), np.int32)
+        place = np.arange(len(at)) + np.repeat(np.arange(len(first)), after - first)
+        n[place], source[place] = sizes[at], begin[at]
+        last = after + np.arange(len(first))
+        n[last], source[last] = 1, len(table)
+        ends = np.cumsum(n, dtype=np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = np.concatenate([table, np.array([end_id], "<u4")])[np.repeat(source - (ends - n), n) + np.arange(total, dtype=np.int32)]
+        return ids, ends[last].astype(np.int64)
 
     @staticmethod
     def _glued(pieces: list[str]) -> list[str]:
@@ -102,13 +149,10 @@ def encoder(path: str, keeps_blanks: bool) -> Encoder:
     return _encoders[key]
 
 
-def slices(texts: list[str | None], most_chars: int = 4_000_000, most_rows: int = 2000):
-    """(from, to) runs of texts of about most_chars, so that what is held at once stays bounded."""
-    start = chars = 0
-    for i, text in enumerate(texts):
-        if i > start and (chars + len(text or "") > most_chars or i - start >= most_rows):
-            yield start, i
-            start, chars = i, 0
-        chars += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
+    """The texts in runs of about most_bytes, so that what is held at once stays bounded."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(sizes) // most_bytes
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(texts)]]) if len(texts) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=False):
+        yield texts.slice(int(a), int(b - a))
