@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tabulith.llm.embedding_dedup import op3_embedding_dedup
+from tabulith.llm.packing import op7_packing
+from tabulith.llm.simhash import op8_simhash
 from tabulith.llm.token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op7_packing": op7_packing,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
