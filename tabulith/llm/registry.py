@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from tabulith.llm.embedding_dedup import op3_embedding_dedup
 from tabulith.llm.packing import op7_packing
+from tabulith.llm.quality import op4_quality
 from tabulith.llm.simhash import op8_simhash
 from tabulith.llm.token_files import op1_token_files
+from tabulith.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_quality": op4_quality,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
