@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tabulith.llm.embedding_dedup import op3_embedding_dedup
+from tabulith.llm.line_dedup import op6_line_dedup
 from tabulith.llm.packing import op7_packing
 from tabulith.llm.quality import op4_quality
+from tabulith.llm.sharding import op5_sharding
 from tabulith.llm.simhash import op8_simhash
 from tabulith.llm.token_files import op1_token_files
 from tabulith.llm.toxicity import op10_toxicity
@@ -13,6 +15,8 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_quality": op4_quality,
+    "op5_sharding": op5_sharding,
+    "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op10_toxicity": op10_toxicity,
