@@ -10,6 +10,7 @@ from tabulith.llm.sharding import op5_sharding
 from tabulith.llm.simhash import op8_simhash
 from tabulith.llm.token_files import op1_token_files
 from tabulith.llm.toxicity import op10_toxicity
+from tabulith.llm.warc import op9_warc
 
 QUERIES = {
     "op1_token_files": op1_token_files,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
 
