@@ -180,3 +180,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tabulith.llm.embedding_dedup import op3_embedding_dedup
 from tabulith.llm.line_dedup import op6_line_dedup
 from tabulith.llm.packing import op7_packing
+from tabulith.llm.pieces import op2_pieces
 from tabulith.llm.quality import op4_quality
 from tabulith.llm.sharding import op5_sharding
 from tabulith.llm.simhash import op8_simhash
@@ -14,6 +15,7 @@ from tabulith.llm.warc import op9_warc
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_pieces": op2_pieces,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,

@@ -106,3 +106,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, the one with the smallest doc_id, with its columns as they are.
+
+    Of rows that share that doc_id one stays; documents without a doc_id all stay. The
+    texts are shuffled once, by doc_id.
+    """
+    found = near_duplicates(docs)
+    kept = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    names = docs.columns
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    ones = rows.join(kept, rows["id"] == kept["kept_id"], "left_semi").dropDuplicates(["id"])
+    return ones.unionByName(rows.where("id is null")).select(*[F.col("row")[c].alias(c) for c in names])

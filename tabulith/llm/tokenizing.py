@@ -81,8 +81,20 @@ class Encoder:
         memo.update(zip(rest, self._encode(rest, " " if self.keeps_blanks else ""), strict=True))
         memo.update([(x, memo[x[:-1]] + stops[x[-1]]) for x in ended])
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (unsigned 32-bit) of all texts, each with end_id at its end, and the ends of the texts in them."""
+    def _heads(self, pieces: list[str]) -> list[bytes]:
+        """The ids of the first pieces of texts."""
+        return self._encode(pieces, "")
+
+    def _head_odd(self, piece: str) -> bool:
+        """Whether a first piece is not cut off from what follows it."""
+        return piece[-1:].isspace()
+
+    def _whole(self, text: str) -> bytes:
+        """The ids of a text whose blanks don't stand alone."""
+        return b"".join(self._plain(self._glued(text.split(" "))))
+
+    def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (unsigned 32-bit) of all texts, each with end_id, if any, at its end, and the ends of the texts in them."""
         if len(self.memo) > self.memo_entries:
             self.memo.clear()
         # a line feed ends a piece, and where blanks matter starts the next
@@ -100,13 +112,13 @@ class Encoder:
             heads = [words[i] for i in at[first].tolist()]
             unclean = np.fromiter((x is None for x in known), bool, len(known))
             odd = unclean[at]
-            odd[first] = [x[-1:].isspace() for x in heads]  # not cut off from the space after it
+            odd[first] = [self._head_odd(x) for x in heads]
             alone = after - first == 1
             odd[first[alone]] = False
             slow = np.flatnonzero(np.logical_or.reduceat(odd, first)) if len(first) else first
-            starts = self._encode(heads, "")
+            starts = self._heads(heads)
             for i in slow.tolist():
-                starts[i] = b"".join(self._plain(self._glued(texts[i].as_py().split(" "))))
+                starts[i] = self._whole(texts[i].as_py())
             # a text's first piece, or all of an odd text, stands as an entry of its own
             at[first] = len(known) + np.arange(len(first))
             for i in slow.tolist():
@@ -120,10 +132,10 @@ class Encoder:
         place = np.arange(len(at)) + np.repeat(np.arange(len(first)), after - first)
         n[place], source[place] = sizes[at], begin[at]
         last = after + np.arange(len(first))
-        n[last], source[last] = 1, len(table)
+        n[last], source[last] = end_id is not None, len(table)
         ends = np.cumsum(n, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        ids = np.concatenate([table, np.array([end_id], "<u4")])[np.repeat(source - (ends - n), n) + np.arange(total, dtype=np.int32)]
+        ids = np.concatenate([table, np.array([end_id or 0], "<u4")])[np.repeat(source - (ends - n), n) + np.arange(total, dtype=np.int32)]
         return ids, ends[last].astype(np.int64)
 
     @staticmethod
