@@ -120,4 +120,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicated(docs)
+    """deduplicated(), with n_chars, where docs has it, set to the characters that are left."""
+    left = deduplicated(docs)
+    if "n_chars" not in docs.columns:
+        return left
+    kind = docs.schema["n_chars"].dataType
+    return left.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
