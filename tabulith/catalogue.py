@@ -2,5 +2,462 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulith.functions import types
+from tabulith.operators import bitpack, choice, describe, nulls, position, runs, split
+from tabulith.plans import tree
+from tabulith.sources import store, synthetic, text
+from tabulith.streaming import capture as streaming
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _orders(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return position.with_position(_table(spark, sf, "orders").select("o_orderkey", *columns), "o_orderkey")
+
+
+# --- scans and positions -------------------------------------------------------------
+
+POSITIONS = "WITH p AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS _pos FROM orders) "
+
+
+@_query("SELECT * FROM orders")
+def scan_full(spark, sf):
+    return _table(spark, sf, "orders")
+
+
+@_query("SELECT o_totalprice FROM orders")
+def project_column(spark, sf):
+    return _table(spark, sf, "orders").select("o_totalprice")
+
+
+@_query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 100")
+def head_n(spark, sf):
+    return position.head(_table(spark, sf, "orders"), 100, "o_orderkey")
+
+
+@_query("SELECT * FROM orders ORDER BY o_orderkey OFFSET 1000")
+def skip_n(spark, sf):
+    return position.skip(_table(spark, sf, "orders"), 1000, "o_orderkey")
+
+
+@_query(POSITIONS + "SELECT CAST(_pos AS BIGINT) AS _pos, o_orderkey, o_totalprice FROM p WHERE _pos >= 500 AND _pos < 750")
+def slice_range(spark, sf):
+    return position.slice_rows(_orders(spark, sf, "o_totalprice"), 500, 250).select("_pos", "o_orderkey", "o_totalprice")
+
+
+@_query(POSITIONS + "SELECT CAST(_pos AS BIGINT) AS _pos, o_orderkey, o_totalprice FROM p WHERE _pos = 1234")
+def point_lookup(spark, sf):
+    return position.point(_orders(spark, sf, "o_totalprice"), 1234).select("_pos", "o_orderkey", "o_totalprice")
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS length, CAST(1000 AS BIGINT) AS index, 1000 >= count(*) AS is_at_end FROM orders")
+def cursor_state(spark, sf):
+    return position.cursor_state(_table(spark, sf, "orders"), 1000)
+
+
+@_query(
+    """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _pos, o_orderpriority FROM orders),
+    c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS _pos, c_name FROM customer)
+    SELECT CAST(coalesce(o._pos, c._pos) AS BIGINT) AS _pos, coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(c_name, '') AS c_name
+    FROM o FULL OUTER JOIN c ON o._pos = c._pos"""
+)
+def ragged_zip(spark, sf):
+    left = _orders(spark, sf, "o_orderpriority").select("_pos", "o_orderpriority")
+    right = position.with_position(_table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey").select("_pos", "c_name")
+    return position.zip_rows(left, right, lambda c: F.coalesce(c, F.lit("")))
+
+
+# --- catalogue -----------------------------------------------------------------------
+
+
+def _all(spark, sf):
+    return {n: _table(spark, sf, n) for n in TABLES}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{n}' AS name, CAST(count(*) AS BIGINT) AS rows FROM {n}" for n in TABLES))
+def table_lengths(spark, sf):
+    return store.lengths_frame(_all(spark, sf))
+
+
+_LISTED = ", ".join(f"'{n}'" for n in TABLES)
+
+
+@_query(f"SELECT table_name AS name, CAST(count(*) AS BIGINT) AS columns FROM information_schema.columns WHERE table_name IN ({_LISTED}) GROUP BY table_name")
+def catalog_tables(spark, sf):
+    return store.tables_frame(spark, _all(spark, sf))
+
+
+@_query(
+    f"""SELECT table_name AS "table", CAST(ordinal_position - min(ordinal_position) OVER (PARTITION BY table_name) AS BIGINT) AS ordinal, column_name AS "column",
+    CASE data_type WHEN 'INTEGER' THEN 'SInt32' WHEN 'BIGINT' THEN 'SInt64' WHEN 'DOUBLE' THEN 'Float64' ELSE 'String' END AS logical
+    FROM information_schema.columns WHERE table_name IN ({_LISTED})"""
+)
+def catalog_columns(spark, sf):
+    return store.columns_frame(spark, _all(spark, sf))
+
+
+@_query(
+    """WITH RECURSIVE t(id, parent_id, encoding, logical, name) AS (VALUES
+    (0, -1, 'Table', 'UInt8', 'orders'), (1, 0, 'Binary', 'SInt64', 'o_orderkey'), (2, 0, 'Binary', 'SInt64', 'o_custkey'),
+    (3, 0, 'Split', 'String', 'o_orderstatus'), (4, 3, 'Binary', 'SInt32', 'lengths'), (5, 3, 'Binary', 'UInt8', 'bytes'),
+    (6, 0, 'Binary', 'Float64', 'o_totalprice'),
+    (7, 0, 'Split', 'String', 'o_orderdate'), (8, 7, 'Binary', 'SInt32', 'lengths'), (9, 7, 'Binary', 'UInt8', 'bytes'),
+    (10, 0, 'Split', 'String', 'o_orderpriority'), (11, 10, 'Binary', 'SInt32', 'lengths'), (12, 10, 'Binary', 'UInt8', 'bytes')),
+    r AS (SELECT *, 0 AS depth FROM t WHERE parent_id = -1 UNION ALL SELECT t.*, r.depth + 1 FROM t JOIN r ON t.parent_id = r.id)
+    SELECT CAST(id AS INTEGER) AS id, CAST(parent_id AS INTEGER) AS parent_id, encoding, logical, name, CAST(depth AS INTEGER) AS depth FROM r"""
+)
+def encoding_tree(spark, sf):
+    return tree.depths(tree.tree(spark, {"orders": _table(spark, sf, "orders")}))
+
+
+# --- run lengths ---------------------------------------------------------------------
+
+RUNS = """WITH x AS (SELECT {k} AS k, {v} AS v, lag({v}) OVER (ORDER BY {k}) AS p, row_number() OVER (ORDER BY {k}) AS n FROM {t}),
+y AS (SELECT k, v, sum(CASE WHEN n > 1 AND v IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM x),
+r AS (SELECT CAST(run AS BIGINT) AS run, min(v) AS value, CAST(count(*) AS BIGINT) AS repeats FROM y GROUP BY run) """
+STATUS_RUNS = RUNS.format(k="o_orderkey", v="o_orderstatus", t="orders")
+EVENT_RUNS = RUNS.format(k="event_id", v="event_type", t="events")
+SOME_NULL = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END"
+
+
+def _status_runs(spark, sf):
+    return runs.encode(_table(spark, sf, "orders"), "o_orderkey", "o_orderstatus")
+
+
+@_query(STATUS_RUNS + "SELECT run, value, repeats FROM r")
+def rle_encode(spark, sf):
+    return _status_runs(spark, sf)
+
+
+@_query(RUNS.format(k="o_orderkey", v="(CASE WHEN o_orderkey % 4 < 2 THEN NULL ELSE o_orderstatus END)", t="orders") + "SELECT run, value, repeats FROM r")
+def rle_encode_nulls(spark, sf):
+    df = _table(spark, sf, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 4 < 2 THEN NULL ELSE o_orderstatus END").alias("v"))
+    return runs.encode(df, "o_orderkey", "v")
+
+
+@_query(EVENT_RUNS + "SELECT CAST(count(*) AS BIGINT) AS runs, CAST(sum(repeats) AS BIGINT) AS rows, max(repeats) AS longest, min(repeats) AS shortest FROM r")
+def rle_stats(spark, sf):
+    return runs.stats(runs.encode(_table(spark, sf, "events"), "event_id", "event_type"))
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _pos, o_orderstatus AS value FROM orders")
+def rle_roundtrip(spark, sf):
+    return runs.decode(_status_runs(spark, sf))
+
+
+@_query("SELECT _pos, value FROM (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _pos, o_orderstatus AS value FROM orders) WHERE _pos % 97 = 0")
+def rle_point_lookup(spark, sf):
+    orders = _table(spark, sf, "orders")
+    rows = orders.count()
+    return runs.lookup(_status_runs(spark, sf), spark.range(0, rows, 97).withColumnRenamed("id", "_pos"))
+
+
+@_query("SELECT CAST(sum(o_custkey) AS BIGINT) AS total FROM orders")
+def rle_sum(spark, sf):
+    found = runs.total(runs.encode(_table(spark, sf, "orders"), "o_orderkey", "o_custkey"))
+    return found.select(F.col("total").cast("long").alias("total"))
+
+
+# --- bit packing ---------------------------------------------------------------------
+
+PREFIX = """WITH a AS (SELECT bit_and(o_custkey) AS a, bit_or(o_custkey) AS o, count(*) AS n FROM orders),
+b AS (SELECT *, least(63, 64 - CASE WHEN xor(a, o) = 0 THEN 0 ELSE length(bin(xor(a, o))) END) AS w FROM a) """
+
+
+@_query("SELECT CAST(i AS INTEGER) AS bit, CAST(sum((o_custkey >> (63 - i)) & 1) AS BIGINT) AS ones FROM orders, range(64) t(i) GROUP BY i")
+def bit_counts(spark, sf):
+    return bitpack.bit_counts(_table(spark, sf, "orders"), "o_custkey")
+
+
+@_query(PREFIX + "SELECT CAST(w AS INTEGER) AS prefix_length, CAST(a >> (64 - w) AS BIGINT) AS prefix, CAST(n AS BIGINT) AS rows FROM b")
+def bitpack_prefix(spark, sf):
+    return bitpack.prefix(_table(spark, sf, "orders"), "o_custkey")
+
+
+@_query(PREFIX + "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _pos, o_custkey & ((CAST(1 AS BIGINT) << (64 - w)) - 1) AS residual FROM orders, b")
+def bitpack_residual(spark, sf):
+    return bitpack.encode(_orders(spark, sf, "o_custkey"), "o_custkey")[0]
+
+
+@_query(
+    PREFIX
+    + """SELECT CAST(64 - w AS INTEGER) AS residual_bits, CAST((n * (64 - w)) // 64 + 1 AS BIGINT) AS words,
+    CAST(((n * (64 - w)) // 64 + 1) * 8 AS BIGINT) AS packed_bytes, CAST(n * 8 AS BIGINT) AS plain_bytes FROM b"""
+)
+def bitpack_size(spark, sf):
+    return bitpack.size(_table(spark, sf, "orders"), "o_custkey")
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _pos, o_custkey AS value FROM orders")
+def bitpack_roundtrip(spark, sf):
+    residuals, length, head = bitpack.encode(_orders(spark, sf, "o_custkey"), "o_custkey")
+    return bitpack.decode(residuals, length, head)
+
+
+# --- nulls ---------------------------------------------------------------------------
+
+
+def _with_nulls(spark, sf):
+    return _orders(spark, sf, "o_custkey").select("_pos", F.expr(SOME_NULL).alias("v"))
+
+
+NULLS = f"WITH p AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _pos, {SOME_NULL} AS v FROM orders) "
+
+
+@_query(NULLS + "SELECT CAST(_pos // 8 AS BIGINT) AS byte_index, CAST(sum(CASE WHEN v IS NULL THEN 1 << CAST(_pos % 8 AS INTEGER) ELSE 0 END) AS BIGINT) AS bits FROM p GROUP BY _pos // 8")
+def null_bitmap(spark, sf):
+    return nulls.bitmap(_with_nulls(spark, sf), "v")
+
+
+@_query(NULLS + "SELECT CAST(row_number() OVER (ORDER BY _pos) - 1 AS BIGINT) AS dense_pos, v AS value FROM p WHERE v IS NOT NULL")
+def null_dense_values(spark, sf):
+    return nulls.dense(_with_nulls(spark, sf), "v")
+
+
+@_query(NULLS + "SELECT CAST(_pos AS BIGINT) AS _pos, v AS value FROM p")
+def null_roundtrip(spark, sf):
+    df = _with_nulls(spark, sf)
+    return nulls.merge(nulls.bitmap(df, "v"), nulls.dense(df, "v"), df.count())
+
+
+# --- lengths and bytes ---------------------------------------------------------------
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _pos, CAST(octet_length(encode(o_orderpriority)) AS BIGINT) AS length FROM orders")
+def split_lengths(spark, sf):
+    return split.lengths(_orders(spark, sf, "o_orderpriority"), "o_orderpriority")
+
+
+@_query(
+    """WITH p AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _pos, octet_length(encode(o_orderpriority)) AS n FROM orders)
+    SELECT CAST(_pos AS BIGINT) AS _pos, CAST(n AS BIGINT) AS length, CAST(sum(n) OVER (ORDER BY _pos ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS "offset" FROM p"""
+)
+def split_offsets(spark, sf):
+    return split.offsets(_orders(spark, sf, "o_orderpriority"), "o_orderpriority")
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS value_pos, o_orderpriority AS value FROM orders")
+def split_roundtrip(spark, sf):
+    return split.roundtrip(_orders(spark, sf, "o_orderpriority"), "o_orderpriority", rows=10_000)
+
+
+# --- sampling and choice -------------------------------------------------------------
+
+
+@_query(
+    POSITIONS
+    + """, n AS (SELECT count(*) AS n FROM orders), l AS (SELECT n // 10 AS section, least(CAST(floor(n * 0.1) AS BIGINT) // 10, 1024) AS len FROM n)
+    SELECT CAST(_pos AS BIGINT) AS _pos, o_orderkey, o_custkey FROM p, l WHERE _pos < section * 10 AND _pos % section < len"""
+)
+def block_sample(spark, sf):
+    df = _orders(spark, sf, "o_custkey")
+    return choice.block_sample(df, df.count()).select("_pos", "o_orderkey", "o_custkey")
+
+
+def _cost_sql(column: str, value: str, part: str, logical: str) -> str:
+    width = types.WIDTHS[logical]
+    bits = 8 * width
+    # of a 32-bit value the 64-bit form has 32 sign bits more in front
+    packed = "CAST(NULL AS BIGINT)"
+    if logical in types.INTEGERS:
+        used = f"CASE WHEN xor(bit_and(CAST({value} AS BIGINT)), bit_or(CAST({value} AS BIGINT))) = 0 THEN 0 ELSE length(bin(xor(bit_and(CAST({value} AS BIGINT)), bit_or(CAST({value} AS BIGINT))))) END"
+        length = f"least({bits - 1}, {bits} - least({bits}, {used}))"
+        packed = f"CASE WHEN {length} > 0 THEN CAST(((count(*) * ({bits} - {length})) // {bits} + 1) * {width} AS BIGINT) END"
+    order = "o_orderkey"
+    changes = f"SELECT sum(CASE WHEN n > 1 AND v IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) FROM (SELECT {value} AS v, lag({value}) OVER (ORDER BY {order}) AS p, row_number() OVER (ORDER BY {order}) AS n FROM orders)"
+    return f"""SELECT '{column}' AS "column", '{part}' AS part, '{logical}' AS logical, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) * {width} AS BIGINT) AS plain,
+    {packed} AS packed, CAST(({changes}) * {width + 4} AS BIGINT) AS run_length FROM orders"""
+
+
+COSTS = " UNION ALL ".join(
+    [
+        _cost_sql("o_custkey", "o_custkey", "values", "SInt64"),
+        _cost_sql("o_orderstatus", "octet_length(encode(o_orderstatus))", "lengths", "SInt32"),
+        _cost_sql("o_totalprice", "o_totalprice", "values", "Float64"),
+        _cost_sql("o_orderdate", "epoch_us(o_orderdate)", "values", "SInt64"),
+        _cost_sql("o_orderpriority", "octet_length(encode(o_orderpriority))", "lengths", "SInt32"),
+    ]
+)
+
+
+@_query(COSTS)
+def encoding_cost(spark, sf):
+    return choice.costs(_table(spark, sf, "orders"), "o_orderkey")
+
+
+@_query(
+    f"""WITH c AS ({COSTS}), l AS (SELECT *, (plain // 4) * 3 AS top FROM c), k AS (SELECT *, CASE WHEN packed < top THEN packed END AS k FROM l),
+    r AS (SELECT *, CASE WHEN run_length < coalesce(k, top) THEN run_length END AS r FROM k)
+    SELECT "column", part, CASE WHEN r IS NOT NULL THEN 'RunLength' WHEN k IS NOT NULL THEN 'BitPacking' ELSE 'Binary' END AS encoding, coalesce(r, k, plain) AS bytes FROM r"""
+)
+def encoding_choice(spark, sf):
+    return choice.choices(choice.costs(_table(spark, sf, "orders"), "o_orderkey"))
+
+
+# --- types ---------------------------------------------------------------------------
+
+_GUESSED = [("customer", "c_custkey"), ("customer", "c_name"), ("customer", "c_nationkey"), ("orders", "o_custkey"), ("part", "p_size"), ("labels", "toxic"), ("documents", "lang")]
+
+
+def _guess_sql(table: str, column: str) -> str:
+    t = f"CAST({column} AS VARCHAR)"
+    digits = f"regexp_full_match({t}, '[+-]?[0-9]+')"
+    value = f"CASE WHEN {digits} THEN CAST({t} AS HUGEINT) END"
+    return f"""SELECT '{column}' AS "column", CASE WHEN bool_or(NOT {digits}) THEN 'String' WHEN count(nullif({t}, '')) = 0 THEN 'Blob'
+    WHEN min({value}) < 0 AND max({value}) >= 0 THEN 'String'
+    WHEN min({value}) < 0 THEN CASE WHEN min({value}) >= -128 THEN 'SInt8' WHEN min({value}) >= -32768 THEN 'SInt16' WHEN min({value}) >= -2147483648 THEN 'SInt32' ELSE 'SInt64' END
+    ELSE CASE WHEN max({value}) <= 255 THEN 'UInt8' WHEN max({value}) <= 65535 THEN 'UInt16' WHEN max({value}) <= 4294967295 THEN 'UInt32' ELSE 'UInt64' END END AS guess FROM {table}"""
+
+
+@_query(" UNION ALL ".join(_guess_sql(t, c) for t, c in _GUESSED))
+def type_guess(spark, sf):
+    out = None
+    for table, column in _GUESSED:
+        row = _table(spark, sf, table).agg(types.guess(F.col(column).cast("string")).alias("guess")).select(F.lit(column).alias("column"), "guess")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_TYPE_ROWS = ", ".join(f"({tag}, '{n}', {w or 'NULL'})" for tag, (n, w) in enumerate(types.LOGICAL_TYPES))
+_TYPE_GROUP = "CASE WHEN {a}.width IS NULL THEN 'v' WHEN {a}.tag < 8 THEN 'i' || {a}.width ELSE {a}.type END"
+
+
+@_query(
+    f"""WITH t(tag, type, width) AS (VALUES {_TYPE_ROWS}) SELECT a.type AS type, b.type AS other,
+    {_TYPE_GROUP.format(a="a")} = {_TYPE_GROUP.format(a="b")} AS compatible FROM t a, t b"""
+)
+def type_compat(spark, sf):
+    return types.compatibility_frame(spark)
+
+
+@_query(
+    f"""WITH t(tag, type, width) AS (VALUES {_TYPE_ROWS}) SELECT CAST(tag AS INTEGER) AS tag, type, CAST(width AS INTEGER) AS width,
+    tag < 8 AS is_integer, tag BETWEEN 8 AND 10 AS is_float, tag < 11 AS is_numeric, tag >= 11 AS is_varying FROM t"""
+)
+def type_sizes(spark, sf):
+    return types.types_frame(spark)
+
+
+@_query(
+    """SELECT o_orderkey, CAST((1000 - o_custkey) & 255 AS SMALLINT) AS u8, CAST((1000 - o_custkey) & 65535 AS INTEGER) AS u16,
+    CAST((1000 - o_custkey) & 4294967295 AS BIGINT) AS u32,
+    CAST(CASE WHEN ((o_custkey * 7) & 255) >= 128 THEN ((o_custkey * 7) & 255) - 256 ELSE (o_custkey * 7) & 255 END AS TINYINT) AS s8 FROM orders"""
+)
+def reinterpret_unsigned(spark, sf):
+    v = 1000 - F.col("o_custkey")
+    return _table(spark, sf, "orders").select("o_orderkey", types.reinterpret(v, "UInt8").alias("u8"), types.reinterpret(v, "UInt16").alias("u16"), types.reinterpret(v, "UInt32").alias("u32"), types.reinterpret(F.col("o_custkey") * 7, "SInt8").alias("s8"))
+
+
+# --- text ----------------------------------------------------------------------------
+
+
+@_query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, coalesce(n_name, '') AS n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def csv_all_string_scan(spark, sf):
+    return text.all_text(_table(spark, sf, "nation"))
+
+
+_CELL = "CASE WHEN {c} LIKE '%,%' THEN '\"' || {c} || '\"' ELSE {c} END"
+_NATION_LINES = f"""SELECT CAST(0 AS BIGINT) AS line_no, 'n_nationkey,n_name,n_regionkey' AS line UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT), CAST(n_nationkey AS VARCHAR) || ',' || {_CELL.format(c="n_name")} || ',' || CAST(n_regionkey AS VARCHAR) FROM nation"""
+_REGION_LINES = f"""SELECT CAST(0 AS BIGINT) AS line_no, 'r_regionkey,r_name' AS line UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY r_regionkey) AS BIGINT), CAST(r_regionkey AS VARCHAR) || ',' || {_CELL.format(c="r_name")} FROM region"""
+
+
+@_query(_NATION_LINES)
+def csv_lines(spark, sf):
+    return text.csv_lines(_table(spark, sf, "nation"), "n_nationkey")
+
+
+@_query(
+    f"""SELECT CAST(0 AS INTEGER) AS table_no, * FROM ({_REGION_LINES}) UNION ALL SELECT 0, -1, 'region'
+    UNION ALL SELECT CAST(1 AS INTEGER), * FROM ({_NATION_LINES}) UNION ALL SELECT 1, -1, 'nation'"""
+)
+def csv_multi_table_lines(spark, sf):
+    return text.csv_tables({"region": (_table(spark, sf, "region"), "r_regionkey"), "nation": (_table(spark, sf, "nation"), "n_nationkey")})
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def tbl_parse(spark, sf):
+    schema = text.parse_ddl("CREATE TABLE nation ( n_nationkey INTEGER not null,\n n_name CHAR(25) not null,\n n_regionkey INTEGER not null);")["nation"]
+    return text.parse_tbl(text.tbl_lines(_table(spark, sf, "nation")), schema)
+
+
+@_query(
+    """SELECT r_regionkey AS key, r_name AS name, CAST(NULL AS INTEGER) AS region FROM region
+    UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation"""
+)
+def schema_union(spark, sf):
+    region = _table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    nation = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return store.union_of([region, nation])
+
+
+@_query(
+    """SELECT rpad(substr(CAST(o_orderkey AS VARCHAR), 1, 12), 12, ' ') AS o_orderkey, rpad(substr(CAST(o_custkey AS VARCHAR), 1, 12), 12, ' ') AS o_custkey,
+    rpad(substr(o_orderstatus, 1, 12), 12, ' ') AS o_orderstatus, rpad(substr(o_orderpriority, 1, 12), 12, ' ') AS o_orderpriority
+    FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 15)"""
+)
+def describe_preview(spark, sf):
+    return describe.preview(_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+
+
+# --- capture -------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT 'event-' || event_id AS id, 'user-' || user_id AS parent, event_type AS name FROM events
+    UNION ALL SELECT 'plan', NULL, 'all events'"""
+)
+def ancestry_table(spark, sf):
+    events = _table(spark, sf, "events")
+    return streaming.ancestry(events, F.concat(F.lit("event-"), "event_id"), F.concat(F.lit("user-"), "user_id"), F.col("event_type"), ("plan", "all events"))
+
+
+@_query(
+    """SELECT CAST(event_id AS VARCHAR) AS id, 'run/user_id' AS names, CAST(11 AS INTEGER) AS type, CAST(user_id AS VARCHAR) AS value FROM events
+    UNION ALL SELECT CAST(event_id AS VARCHAR), 'run/event_type', 18, event_type FROM events
+    UNION ALL SELECT CAST(event_id AS VARCHAR), 'props', 18, props FROM events"""
+)
+def params_unpivot(spark, sf):
+    events = _table(spark, sf, "events").select("event_id", "user_id", "event_type", "props")
+    return streaming.parameters(events, "event_id", {"user_id": "run", "event_type": "run"})
+
+
+@_query()
+def stream_result_capture(spark, sf):
+    """All events published as a stream and captured to a store; the captured table."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
+    at = f"{base.rstrip('/')}/capture-{uuid.uuid4().hex}"
+    kept = store.Store(spark, f"{at}/store")
+    stream = spark.readStream.schema(_table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+    streaming.capture(stream, kept, "run/events", f"{at}/state").awaitTermination()
+    return kept.table("run/events").drop("_batch")
+
+
+@_query()
+def synthetic_sparsity(spark, sf):
+    return synthetic.wide(spark, 1000, 0.8)
