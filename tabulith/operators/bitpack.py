@@ -29,7 +29,7 @@ def prefix_columns(value: Column, logical: str) -> tuple[Column, Column]:
     same, any_ = F.bit_and(x), F.bit_or(x)
     differ = same.bitwiseXOR(any_) if bits == 64 else same.bitwiseXOR(any_).bitwiseAND(F.lit(2**bits - 1))
     used = F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
-    length = F.least(F.lit(bits - 1), F.lit(bits) - used).cast("int")
+    length = F.when(differ.isNotNull(), F.least(F.lit(bits - 1), F.lit(bits) - used)).cast("int")
     low = same if bits == 64 else same.bitwiseAND(F.lit(2**bits - 1))
     return length, F.call_function("shiftrightunsigned", low, F.lit(bits) - length)
 

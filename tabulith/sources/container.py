@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tabulith.functions import types as logical
 from tabulith.operators import choice
+from tabulith.operators.position import POS
 from tabulith.plans.tree import ENCODING_TAGS
 
 # The magic number, and the numbers before the closing one.
@@ -234,7 +235,7 @@ def write_file(path: str, tables: dict[str, list[tuple[str, str, list]]], compre
 
 
 def export(tables: dict[str, tuple[DataFrame, str]], path: str, **options) -> None:
-    """Write DataFrames, each with the column that orders it, to one container.
+    """Write DataFrames, each with the column that orders it, to one container; `_pos` itself is not written.
 
     The format is one file whose columns are each one run of bytes, so all rows come to the
     driver: it is for results of a size that one machine holds, and larger ones stay in a
@@ -242,8 +243,9 @@ def export(tables: dict[str, tuple[DataFrame, str]], path: str, **options) -> No
     """
     out = {}
     for name, (df, order) in tables.items():
-        frame = df.orderBy(order).select(*[df[f.name] if logical.logical_type(f) != "String" else df[f.name].cast("string") for f in df.schema]).toArrow()
-        out[name] = [(f.name, logical.logical_type(f), frame[f.name].to_pylist()) for f in df.schema]
+        fields = [f for f in df.schema if f.name != POS]
+        frame = df.orderBy(order).select(*[df[f.name] if logical.logical_type(f) != "String" else df[f.name].cast("string") for f in fields]).toArrow()
+        out[name] = [(f.name, logical.logical_type(f), frame[f.name].to_pylist()) for f in fields]
     write_file(path, out, **options)
 
 

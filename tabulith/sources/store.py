@@ -109,7 +109,7 @@ def lengths_frame(tables: dict[str, DataFrame]) -> DataFrame:
 
 def union_of(tables: list[DataFrame]) -> DataFrame:
     """Rows of tables with different columns; what a table lacks is null."""
-    out = tables[0]
+    out = tables[0].select("*")  # untyped, as rows of a typed range cannot grow columns
     for df in tables[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
