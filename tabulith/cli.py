@@ -16,7 +16,7 @@ from tabulith.sources import container, text
 from tabulith.sources.store import Store
 
 # File name endings and the formats they stand for.
-ENDINGS = {".csv": "csv", ".parquet": "parquet", ".tapresult": "container"}
+ENDINGS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc", ".container": "container"}
 FORMATS = ("csv", "parquet", "container", "store", "json", "orc")
 
 
@@ -26,6 +26,15 @@ def format_of(path: str) -> str:
     return ENDINGS.get(ending, "store" if not ending else "unknown")
 
 
+def source_format(path: str) -> str:
+    """The format of what is at path: by its ending or, where that says nothing, by its first bytes."""
+    kind = format_of(path)
+    if kind != "unknown" or "://" in path or not os.path.isfile(path):
+        return kind
+    with open(path, "rb") as file:
+        return "container" if file.read(len(container.MAGIC)) == container.MAGIC else kind
+
+
 def _placed(df: DataFrame) -> DataFrame:
     """Rows numbered as they stand in a file: by its name and their place in it."""
     return df.withColumn(POS, F.monotonically_increasing_id())
@@ -70,7 +79,7 @@ def write_tables(tables: dict[str, tuple[DataFrame, str]], path: str, kind: str,
 
 
 def convert(spark: SparkSession, source: str, target: str, from_: str | None = None, to: str | None = None, multiple: bool = False, encodings: dict | None = None) -> None:
-    tables = read_tables(spark, source, from_ or format_of(source))
+    tables = read_tables(spark, source, from_ or source_format(source))
     if tables:
         write_tables(tables, target, to or format_of(target), multiple, encodings)
 
@@ -126,7 +135,7 @@ def main(args: list[str] | None = None) -> int:
             wanted = [n for n, on in (("BitPacking", found.bit_packing), ("RunLength", found.run_length)) if on]
             convert(spark, found.source, found.target, found.from_, found.to, found.multiple, {n: choice.ENCODINGS[n] for n in wanted} or None)
             return 0
-        kind = format_of(found.source)
+        kind = source_format(found.source)
         if kind == "container":
             print("\n".join(header(container.read_file(found.source))))
         if found.file or kind != "container":

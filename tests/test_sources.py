@@ -18,7 +18,7 @@ VALUES = {name: list(range(10)) for name in types.NUMERIC} | {"String": ["", "æ
 @pytest.mark.parametrize("compress", [False, True])
 @pytest.mark.parametrize("density", ["all", "half", "none"])
 def test_container_round_trip(tmp_path, compress, density):
-    path = str(tmp_path / "a.tapresult")
+    path = str(tmp_path / "a.container")
     hide = lambda v: [x if density == "all" or density == "half" and i % 2 else None for i, x in enumerate(v)]
     tables = {f"t/{n}": [("c", n, hide(v)), ("empty", n, [])] for n, v in VALUES.items()}
     container.write_file(path, tables, compress)
@@ -33,14 +33,14 @@ def test_container_round_trip(tmp_path, compress, density):
 
 @pytest.mark.parametrize("vector", [[1] * 7 + [5] * 5 + [1] * 5 + [3] * 6, list(range(1000, 2000)), [-1, 2, -3] * 50, [2**40 + i // 50 for i in range(1000)], [7]])
 def test_compressed_numbers(tmp_path, vector):
-    path = str(tmp_path / "a.tapresult")
+    path = str(tmp_path / "a.container")
     container.write_file(path, {"t": [("c", "SInt64", vector)]})
     file = container.read_file(path)
     assert list(file.column(file.tables["t"][1]["c"])) == vector
 
 
 def test_nullable_strings_and_a_null(tmp_path):
-    path, vector = str(tmp_path / "a.tapresult"), [f"v{i}" for i in range(16)] + [None, ""]
+    path, vector = str(tmp_path / "a.container"), [f"v{i}" for i in range(16)] + [None, ""]
     container.write_file(path, {"t": [("c", "String", vector)]})
     file = container.read_file(path)
     assert [v if v is None else v.decode() for v in file.column(file.tables["t"][1]["c"])] == vector
@@ -48,7 +48,7 @@ def test_nullable_strings_and_a_null(tmp_path):
 
 def test_container_bytes(tmp_path):
     """A table of three plain columns, byte for byte."""
-    path = tmp_path / "a.tapresult"
+    path = tmp_path / "a.container"
     container.write_file(str(path), {"table": [(f"column{c}", "SInt32", [1, 2]) for c in "ABC"]}, compress=False)
     name = lambda s: struct.pack("<i", len(s)) + s
     blobs = [struct.pack("<iq", 8, 8 + 8 * i) for i in range(3)] + [name(b"table") + name(b"columnA") + name(b"columnB") + name(b"columnC")]
@@ -62,7 +62,7 @@ def test_container_bytes(tmp_path):
 
 @pytest.mark.parametrize("damage", [lambda b: b"X" + b[1:], lambda b: b[:-1] + b"X", lambda b: b[:40], lambda b: b"", lambda b: b[:-32] + struct.pack("<q", 10**9) + b[-24:]])
 def test_damaged_containers(tmp_path, damage):
-    path = tmp_path / "a.tapresult"
+    path = tmp_path / "a.container"
     container.write_file(str(path), {"t": [("c", "SInt32", [1, 2, 3])]})
     path.write_bytes(damage(path.read_bytes()))
     with pytest.raises(container.ContainerError):
@@ -87,7 +87,7 @@ def test_cursor():
 
 def test_container_source(tmp_path, spark):
     container.register(spark)
-    path = str(tmp_path / "a.tapresult")
+    path = str(tmp_path / "a.container")
     df = spark.range(200).select("id", (F.col("id") % 3).cast("int").alias("n"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), "id")).alias("s"), (F.col("id") / 2).alias("d"))
     container.export({"a/b": (df, "id"), "c": (spark.range(3), "id")}, path)
     back = spark.read.format("container").option("table", "a/b").load(path)
@@ -99,7 +99,7 @@ def test_container_source(tmp_path, spark):
 
 def test_unsigned_and_half(tmp_path, spark):
     container.register(spark)
-    path = str(tmp_path / "a.tapresult")
+    path = str(tmp_path / "a.container")
     container.write_file(path, {"t": [("u", "UInt64", [2**64 - 1, 0]), ("h", "Float16", [0.5, -2.0]), ("b", "UInt8", [255, 0])]})
     row = spark.read.format("container").option("table", "t").load(path).orderBy("_pos").first()
     assert (int(row["u"]), row["h"], row["b"]) == (2**64 - 1, 0.5, 255)
@@ -154,24 +154,24 @@ def test_tree(spark):
 def test_convert_and_describe(tmp_path, spark, capsys):
     (tmp_path / "in.csv").write_text("a,b\n" + "".join(f"{i},w{i % 3}\n" for i in range(50)))
     at = lambda name: f"{tmp_path}/{name}"
-    assert cli.main(["convert", at("in.csv"), at("x.TapResult")]) == 0
-    assert cli.main(["convert", at("x.TapResult"), at("out.csv")]) == 0
+    assert cli.main(["convert", at("in.csv"), at("x.Container")]) == 0
+    assert cli.main(["convert", at("x.Container"), at("out.csv")]) == 0
     lines = [x for p in (tmp_path / "out.csv").glob("part-*") for x in p.read_text().splitlines()]
     assert lines[0] == "a,b" and lines[1:] == [f"{i},w{i % 3}" for i in range(50)]
-    assert cli.main(["convert", at("x.tapresult") if (tmp_path / "x.tapresult").exists() else at("x.TapResult"), at("y.parquet")]) == 0
+    assert cli.main(["convert", at("x.Container"), at("y.parquet")]) == 0
     assert spark.read.parquet(at("y_CSVTable.parquet")).count() == 50
     assert cli.main(["convert", at("y_CSVTable.parquet"), at("keep"), "--to", "store"]) == 0
     assert store.Store(spark, at("keep")).table("y_CSVTable").count() == 50
-    assert cli.main(["describe", at("x.TapResult"), "-f"]) == 0
+    assert cli.main(["describe", at("x.Container"), "-f"]) == 0
     shown = capsys.readouterr().out
     assert "CSVTable" in shown and "[ln: 50]" in shown and "Split" in shown
     assert cli.main(["convert", at("in.csv"), at("x.what")]) == 1
-    (tmp_path / "bad.tapresult").write_bytes(b"no")
-    assert cli.main(["describe", at("bad.tapresult")]) == 1
+    (tmp_path / "bad.container").write_bytes(b"no")
+    assert cli.main(["describe", at("bad.container")]) == 1
 
 
 def test_formats_by_ending():
-    assert [cli.format_of(p) for p in ("a.CSV", "a.parquet", "b/c.TapResult", "x.y", "folder/")] == ["csv", "parquet", "container", "unknown", "store"]
+    assert [cli.format_of(p) for p in ("a.CSV", "a.parquet", "b/c.Container", "x.y", "folder/")] == ["csv", "parquet", "container", "unknown", "store"]
 
 
 def test_capture(tmp_path, spark, sf):
