@@ -145,17 +145,17 @@ def _linked(classes: DataFrame, size: int, count: int, least: float) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(_unit(batch.column(2), size) @ axis)], names=["class_id", "copies", "vector", "lead"])
 
     placed = written(classes.select("class_id", "copies", "vector").mapInArrow(first, "class_id long, copies long, vector array<double>, lead double"), "placed")
-    cuts = sorted(set(placed.approxQuantile("lead", [i / blocks for i in range(1, blocks)], 0.1 / blocks)))
-    number = F.lit(0)
-    if cuts:  # array position by binary search stays in the JVM: one comparison a cut, cuts grow as the blocks
-        number = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("lead")))
-    placed = placed.withColumn("block", number)
-    bounds = {r["block"]: (r["low"], r["high"]) for r in placed.groupBy("block").agg(F.min("lead").alias("low"), F.max("lead").alias("high")).collect()}
+    cuts = np.unique(placed.approxQuantile("lead", [i / blocks for i in range(1, blocks)], 0.1 / blocks))
+    # block b lies between cuts b - 1 and b; unit vectors further apart than reach are not linked
     reach = float(np.sqrt(2 - 2 * least)) + 1e-9
-    cells = [(i, j) for i in sorted(bounds) for j in sorted(bounds) if i <= j and bounds[j][0] - bounds[i][1] <= reach]
-    partners = {b: [(i, j) for i, j in cells if b in (i, j)] for b in bounds}
-    spark = classes.sparkSession
-    plan = spark.createDataFrame([(b, i, j) for b, of in partners.items() for i, j in of], "block int, i int, j int")
+    nearest = np.concatenate([[0], np.searchsorted(cuts, cuts - reach, "left")]).astype(np.int32)
+    furthest = np.concatenate([np.searchsorted(cuts, cuts + reach, "right"), [len(cuts)]]).astype(np.int32)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.searchsorted(cuts, batch.column(3).to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(block), pa.array(nearest[block]), pa.array(furthest[block])], names=["class_id", "copies", "vector", "block", "a", "z"])
+
     steps = sorted({max(1, size * k // 4) for k in (1, 2, 3)} | {size})
 
     def cell(table: pa.Table) -> pa.Table:
@@ -166,8 +166,9 @@ def _linked(classes: DataFrame, size: int, count: int, least: float) -> DataFram
         who, links, nodes, roots = compare(made[i], made[j], least, steps) if i in made and j in made else (ids[:0],) * 4
         return pa.table({"kind": pa.array([0] * len(who) + [1] * len(nodes), pa.int32()), "u": pa.array(np.concatenate([who, nodes]), pa.int64()), "v": pa.array(np.concatenate([links, roots]), pa.int64())})
 
-    # the plan has a row for each block and cell: bounded by the square of the number of blocks
-    dealt = placed.join(F.broadcast(plan), "block").select("i", "j", "block", "class_id", "copies", "vector")
+    # a block goes to the cell of each pair that it is in: as often as there are blocks within reach
+    dealt = placed.mapInArrow(deal, "class_id long, copies long, vector array<double>, block int, a int, z int").withColumn("other", F.explode(F.sequence("a", "z")))
+    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "copies", "vector")
     return dealt.groupBy("i", "j").applyInArrow(cell, "kind int, u long, v long")
 
 
