@@ -4,14 +4,15 @@ Documents with equal texts are a group and stay together. Groups are ordered: th
 that are heavy (over 1/4096 of all bytes, so 4096 at most) first, then all others by the
 digest of their text. The smallest capacity with which a greedy walk over this order
 fills at most the wanted number of shards is found by binary search, and the shards are
-cut there. The walk is made on sums of runs of groups; only runs in which a cut can fall
-are looked at more closely, level by level, until every cut is between two known groups,
-so the driver holds a bounded number of sums whatever the number of groups.
+cut with that capacity, each as near to an even share as it allows. The walks are made on
+sums of runs of groups; only runs in which a cut can fall are looked at more closely,
+level by level, until every cut is between two known groups, so the driver holds a
+bounded number of sums whatever the number of groups.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,6 +100,32 @@ def in_question(runs: list[Run], shards: int) -> tuple[list[int], int]:
     return [i for i in several if i in near], high
 
 
+def even_cuts(runs: list[Run], shards: int, capacity: int) -> list[int]:
+    """Cuts as in cuts(), with no shard over capacity, each as near as can be to an even share of what is left.
+
+    A walk from the end tells how early a cut may be for the rest to fit; the greedy walk
+    would fill all shards but the last ones up to the capacity instead.
+    """
+    sums = [0]
+    for run in runs:
+        sums.append(sums[-1] + run.size)
+    earliest = [len(runs)]  # where the last 0, 1, 2 ... shards can start at the earliest
+    for _ in range(shards - 1):
+        earliest.append(bisect_left(sums, sums[earliest[-1]] - capacity))
+    found, at = [], 0
+    for left in range(shards - 1, 0, -1):
+        first, last = max(earliest[left], at + 1), bisect_right(sums, sums[at] + capacity) - 1
+        if first >= len(runs):
+            break
+        wanted = sums[at] + (sums[-1] - sums[at]) / (left + 1)
+        near = bisect_left(sums, wanted)
+        if near > 0 and wanted - sums[near - 1] <= sums[min(near, len(runs))] - wanted:
+            near -= 1
+        at = min(max(near, first), max(first, min(last, len(runs) - left)))  # a run for each later shard, where there are enough
+        found.append(at)
+    return found
+
+
 def _ranges(prefixes: list[str]) -> Column:
     """Whether a key starts with one of the prefixes, neighbours taken together."""
     wide: list[list[str]] = []
@@ -118,6 +145,18 @@ def _runs(groups: DataFrame, digits: int, where: Column | None = None) -> list[R
     return sorted(Run(r["p"], int(r["s"]), r["n"]) for r in rows)
 
 
+def _finer(light: DataFrame, runs: list[Run], marked: list[int]) -> list[Run]:
+    """The runs with those marked taken apart by more digits, or to single groups once there are few in them."""
+    few = sum(runs[i].groups for i in marked) <= FETCHED
+    digits = 32 if few else 1 + max(len(runs[i].prefix) for i in marked)
+    prefixes = [runs[i].prefix for i in marked]
+    parts: dict[str, list[Run]] = {}
+    for run in _runs(light, digits, _ranges(prefixes)):
+        parts.setdefault(prefixes[bisect_right(prefixes, run.prefix) - 1], []).append(run)
+    inside = set(marked)
+    return [x for i, run in enumerate(runs) for x in (parts[run.prefix] if i in inside else [run])]
+
+
 def partition(groups: DataFrame, shards: int) -> tuple[dict[str, int], list[str], int, int]:
     """How groups(key, size) go to shards: heavy keys with their shard, then for the others
     the first key of each later shard, the number of the shard where they start, and the capacity."""
@@ -126,20 +165,18 @@ def partition(groups: DataFrame, shards: int) -> tuple[dict[str, int], list[str]
         return {}, [], 0, 0
     heavy = sorted(Run(r["key"], int(r["size"]), 1) for r in groups.where(F.col("size") > int(total) // 4096).collect())
     light = groups.where(F.col("size") <= int(total) // 4096)
-    digits = FIRST_DIGITS
-    runs = heavy + _runs(light, digits)
+    runs = heavy + _runs(light, FIRST_DIGITS)
+    capacity, starts, even = 0, [], False
     while True:
-        marked, capacity = in_question(runs, shards)
-        if not marked:
-            break
-        digits = 32 if sum(runs[i].groups for i in marked) <= FETCHED else digits + 1
-        prefixes = [runs[i].prefix for i in marked]
-        inside = set(marked)
-        finer: dict[str, list[Run]] = {}
-        for run in _runs(light, digits, _ranges(prefixes)):
-            finer.setdefault(prefixes[bisect_right(prefixes, run.prefix) - 1], []).append(run)
-        runs = [x for i, run in enumerate(runs) for x in (finer[run.prefix] if i in inside else [run])]
-    starts = cuts(runs, capacity)
+        if not even:  # first the capacity, from runs in which a cut of the greedy walk can fall
+            marked, capacity = in_question(runs, shards)
+            even = not marked
+        if even:  # then the cuts, from the runs on their two sides
+            starts = even_cuts(runs, shards, capacity)
+            marked = sorted({i for s in starts for i in (s - 1, s) if runs[i].groups > 1})
+            if not marked:
+                break
+        runs = _finer(light, runs, marked)
     of_heavy, n = {}, len(heavy)
     for i, run in enumerate(heavy):
         of_heavy[run.prefix] = sum(s <= i for s in starts)

@@ -131,6 +131,7 @@ def test_model_probabilities_add_up(spark):
 
 
 def brute_shards(docs, shards):
+    """The smallest capacity, from all single groups, and each group's shard in the same even cut."""
     groups = {}
     for text in docs:
         raw = (text or "").encode()
@@ -138,22 +139,22 @@ def brute_shards(docs, shards):
     heavy = sum(groups.values()) // 4096
     order = sorted(k for k in groups if groups[k] > heavy) + sorted(k for k in groups if groups[k] <= heavy)
 
-    def fill(capacity):
-        out, shard, room = {}, 0, capacity
+    def fits(capacity):
+        shard, room = 1, capacity
         for k in order:
             if groups[k] > capacity:
-                return None
+                return False
             if groups[k] > room:
                 shard, room = shard + 1, capacity
             room -= groups[k]
-            out[k] = shard
-        return out if shard < shards else None
+        return shard <= shards
 
     low, high = 1, sum(groups.values())
     while low < high:
         middle = (low + high) // 2
-        low, high = (low, middle) if fill(middle) else (middle + 1, high)
-    return fill(low)
+        low, high = (low, middle) if fits(middle) else (middle + 1, high)
+    starts = sharding.even_cuts([sharding.Run(k, groups[k], 1) for k in order], shards, low)
+    return low, {k: sum(s <= i for s in starts) for i, k in enumerate(order)}
 
 
 @pytest.mark.parametrize("fetched", [50_000, 50])
@@ -163,10 +164,16 @@ def test_sharding(spark, monkeypatch, fetched):
     docs = ["x" * int(n) + str(i) for i, n in enumerate(rng.exponential(8, 9000))] + ["copy"] * 500 + [None, "", "big" * 3000]
     df = spark.createDataFrame([(i // 2, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, chunk string").repartition(3)
     rows = sharding.sharded(df, 7).join(df.selectExpr("doc_id", "crc32(coalesce(text, '')) AS text_crc32", "coalesce(text, '') AS t").distinct(), ["doc_id", "text_crc32"]).collect()
-    expected = brute_shards(docs, 7)
+    capacity, expected = brute_shards(docs, 7)
     assert len(rows) == len(docs)
+    sizes = Counter()
     for r in rows:
-        assert r["shard"] == expected[hashlib.md5(r["t"].encode()).hexdigest()] and r["size"] == len(r["t"].encode()) + 16 and r["grown_shard"] is None
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) <= capacity
+    if fetched > 50:  # on another way down, cuts may fall between other groups just as near
+        assert len(sizes) == 7 and min(sizes.values()) > 0.9 * max(sizes.values())
+    for r in rows:
+        assert (fetched == 50 or r["shard"] == expected[hashlib.md5(r["t"].encode()).hexdigest()]) and r["size"] == len(r["t"].encode()) + 16 and r["grown_shard"] is None
     slots = {}
     for r in rows:
         slots.setdefault(r["shard"], []).append(r["slot"])
@@ -179,6 +186,18 @@ def test_sharding_odd_rows(spark):
     assert sharding.sharded(df.limit(1)).first()["shard"] == 0
 
 
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=40), st.integers(1, 12))
+@settings(max_examples=200, deadline=None)
+def test_even_cuts_keep_to_the_capacity(sizes, shards):
+    runs = [sharding.Run(f"{i:03x}", s, 1) for i, s in enumerate(sizes)]
+    capacity = sharding.smallest_capacity(runs, shards)
+    starts = sharding.even_cuts(runs, shards, capacity)
+    assert starts == sorted(set(starts)) and len(starts) < shards and all(0 < s < len(runs) for s in starts)
+    edges = [0, *starts, len(runs)]
+    assert max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:], strict=False)) <= capacity
+    assert len(starts) + 1 == min(shards, len(runs))
+
+
 @given(st.lists(st.tuples(st.integers(1, 50), st.integers(1, 3)), min_size=1, max_size=30), st.integers(1, 8))
 @settings(max_examples=150, deadline=None)
 def test_the_cut_is_always_looked_at(sizes, shards):
