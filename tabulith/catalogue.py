@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulith.functions import types
 from tabulith.operators import bitpack, choice, describe, nulls, position, runs, split
 from tabulith.plans import tree
-from tabulith.sources import store, synthetic, text
+from tabulith.sources import container, store, synthetic, text
 from tabulith.streaming import capture as streaming
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -423,6 +424,54 @@ def describe_preview(spark, sf):
     return describe.preview(_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session shares."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS _pos, * FROM supplier")
+def container_roundtrip(spark, sf):
+    """A table written to a compressed binary container and read back by the data source."""
+    container.register(spark)
+    path = _shared(spark, "suppliers")
+    container.export({"supplier": (_table(spark, sf, "supplier"), "s_suppkey")}, path)
+    return spark.read.format("container").option("table", "supplier").load(path)
+
+
+@_query(
+    """SELECT * FROM (VALUES (0, -1, 'Table', 'UInt8'), (1, 0, 'Binary', 'SInt32'), (2, 0, 'Split', 'String'), (3, 2, 'Binary', 'SInt32'),
+    (4, 2, 'Binary', 'UInt8'), (5, 0, 'Binary', 'SInt32')) AS t(id, parent_id, encoding, logical)"""
+)
+def container_nodes(spark, sf):
+    """The metadata rows of a plain container."""
+    path = _shared(spark, "nations")
+    container.export({"nation": (_table(spark, sf, "nation"), "n_nationkey")}, path, compress=False)
+    return container.nodes_frame(spark, container.read_file(path)).select("id", "parent_id", "encoding", "logical")
+
+
+@_query("SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 2 = 0")
+def store_append(spark, sf):
+    """A table of a store, written and added to."""
+    kept, orders = store.Store(spark, _shared(spark, "store")), _table(spark, sf, "orders")
+    kept.write("run 1/orders", orders, sort_by="o_orderkey")
+    kept.write("run 1/orders", orders.where("o_orderkey % 2 = 0"), "append")
+    return kept.table("run 1/orders")
+
+
+@_query()
+def encoding_choice_nested(spark, sf):
+    """Trees chosen from samples of every column of orders, two levels deep."""
+    orders = _table(spark, sf, "orders")
+    rows = [(c, i, n.describe(), n.total()) for c in orders.columns for i, n in enumerate(choice.choose(orders, c, "o_orderkey"))]
+    return spark.createDataFrame(rows, "column string, part int, tree string, sample_bytes long")
+
+
+@_query("SELECT row_number() OVER (ORDER BY o_orderkey) > 0 AS found FROM orders LIMIT 1")
+def pick_random(spark, sf):
+    return position.pick_random(_table(spark, sf, "orders"), 3).select((F.col("o_orderkey") >= 0).alias("found"))
+
+
 # --- capture -------------------------------------------------------------------------
 
 
@@ -448,10 +497,7 @@ def params_unpivot(spark, sf):
 @_query()
 def stream_result_capture(spark, sf):
     """All events published as a stream and captured to a store; the captured table."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
-    at = f"{base.rstrip('/')}/capture-{uuid.uuid4().hex}"
+    at = _shared(spark, "capture")
     kept = store.Store(spark, f"{at}/store")
     stream = spark.readStream.schema(_table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
     streaming.capture(stream, kept, "run/events", f"{at}/state").awaitTermination()

@@ -53,6 +53,11 @@ class Store:
     def has(self, name: str) -> bool:
         return name in self.names()
 
+    def size(self) -> int:
+        """Bytes of all files of the store."""
+        files, path = self._fs()
+        return files.getContentSummary(path).getLength() if files.exists(path) else 0
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._folder(name))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabulith import cli
 from tabulith.functions import types
 from tabulith.plans import tree
-from tabulith.sources import container, store, synthetic, text
+from tabulith.sources import container, ingest, store, synthetic, text
 from tabulith.streaming import capture
 
 VALUES = {name: list(range(10)) for name in types.NUMERIC} | {"String": ["", "æ", "x" * 300, "a"], "Blob": [b"", b"\x00\xff", b"abc", b"d"]}
@@ -107,7 +107,7 @@ def test_unsigned_and_half(tmp_path, spark):
 
 def test_store(tmp_path, spark):
     kept = store.Store(spark, f"file://{tmp_path}/s")
-    assert kept.names() == []
+    assert kept.names() == [] and kept.size() == 0
     kept.write("step/result one", spark.range(10), sort_by="id")
     kept.write("step/result one", spark.range(5), mode="append")
     assert kept.names() == ["step/result one"] and kept.table("step/result one").count() == 15
@@ -116,7 +116,7 @@ def test_store(tmp_path, spark):
     assert kept.publish("step/result one", spark.range(2)) == "step/result one"
     assert kept.publish("step/result one", spark.range(2).selectExpr("id AS other")) == "step/result one~2"
     assert kept.has("step/result one~2") and not kept.has("none")
-    assert kept.catalogue().count() == 2
+    assert kept.catalogue().count() == 2 and kept.size() > 0
     assert kept.column("step/result one", "id", "UInt64").dtypes == [("id", "decimal(20,0)")]
     with pytest.raises(TypeError):
         kept.column("step/result one", "id", "Float64")
@@ -201,3 +201,23 @@ def test_synthetic(spark):
     assert len(df.columns) == 101 and df.count() == 400
     assert synthetic.table(spark, 10, {"o": "ordered"}).orderBy("_pos").select("o").toPandas()["o"].tolist() == list(range(10))
     assert np.isfinite(df.select("double0").dropna().toPandas()["double0"]).all()
+
+
+@pytest.mark.parametrize("kind", list(ingest._OF_DTYPE.values()))
+@pytest.mark.parametrize("nullable", [False, True])
+def test_ingest_every_type(spark, kind, nullable):
+    dtype = next(d for d, k in ingest._OF_DTYPE.items() if k == kind)
+    values = np.arange(10).astype(dtype)
+    given = [None if i % 3 == 0 else v for i, v in enumerate(values)] if nullable else values
+    df = ingest.from_arrays(spark, {"c": given})
+    assert types.logical_type(df.schema["c"]) == kind
+    assert [None if r["c"] is None else float(r["c"]) for r in df.orderBy("_pos").collect()] == [None if nullable and i % 3 == 0 else float(i) for i in range(10)]
+
+
+def test_ingest_texts(spark):
+    df = ingest.from_arrays(spark, {"s": ["a", None], "b": [b"x"], "n": [2**64 - 1, 0]}, {"n": "UInt64"})
+    assert [(r["s"], r["b"] and bytes(r["b"]), int(r["n"])) for r in df.orderBy("_pos").collect()] == [("a", b"x", 2**64 - 1), (None, None, 0)]
+    with pytest.raises(TypeError):
+        ingest.from_arrays(spark, {"x": [object()]})
+    with pytest.raises(TypeError):
+        ingest.from_arrays(spark, {"x": [True]})
