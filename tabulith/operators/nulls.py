@@ -22,7 +22,7 @@ def bitmap_bytes(length: int) -> int:
 def dense(df: DataFrame, value: str, pos: str = "_pos") -> DataFrame:
     """dense_pos, value: the values that are not null, in their order, without gaps."""
     some = df.where(F.col(value).isNotNull()).select(pos, F.col(value).alias("value"))
-    return running(some, pos, F.lit(1), "dense_pos").select("dense_pos", "value")
+    return running(some, pos, F.lit(1), "dense_pos", dense=True).select("dense_pos", "value")
 
 
 def merge(bits: DataFrame, values: DataFrame, length: int) -> DataFrame:
@@ -33,5 +33,5 @@ def merge(bits: DataFrame, values: DataFrame, length: int) -> DataFrame:
     spark = values.sparkSession
     each = spark.range(length).withColumnRenamed("id", "_pos").withColumn("byte_index", F.expr("_pos div 8"))
     known = each.join(bits, "byte_index", "left").withColumn("null", F.expr("shiftright(coalesce(bits, 0), cast(_pos % 8 as int)) & 1 = 1"))
-    placed = running(known, "_pos", (~F.col("null")).cast("int"), "dense_pos").select("_pos", F.when(~F.col("null"), F.col("dense_pos")).alias("dense_pos"))
+    placed = running(known, "_pos", (~F.col("null")).cast("int"), "dense_pos", dense=True).select("_pos", F.when(~F.col("null"), F.col("dense_pos")).alias("dense_pos"))
     return placed.join(values, "dense_pos", "left").select("_pos", "value")

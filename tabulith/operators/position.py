@@ -33,9 +33,16 @@ def _search(value: Column, cuts: list, first: int = 0) -> Column:
     return F.when(value < F.lit(cuts[middle]), _search(value, cuts[:middle], first)).otherwise(_search(value, cuts[middle + 1 :], first + middle + 1))
 
 
-def chunked(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
-    """df with `_chunk`, in the order of key (a number, date or timestamp); null keys are in the first."""
-    chunks = -(-df.count() // (rows or CHUNK_ROWS))
+def chunked(df: DataFrame, key: str, rows: int | None = None, dense: bool = False) -> DataFrame:
+    """df with `_chunk`, in the order of key (a number, date or timestamp); null keys are in the first.
+
+    Of a dense key (a position or a run's number) no more is to be known. For others the
+    rows are counted and quantiles of the key taken, which reads the key's column alone.
+    """
+    rows = rows or CHUNK_ROWS
+    if dense:
+        return df.withColumn(CHUNK, F.floor(F.col(key) / rows).cast("int"))
+    chunks = -(-df.count() // rows)
     if chunks <= 1:
         return df.withColumn(CHUNK, F.lit(0))
     value = _numeric(key, df)
@@ -53,9 +60,9 @@ def before_chunk(totals: DataFrame, column: str, name: str) -> DataFrame:
     return totals.select(CHUNK, F.coalesce(F.sum(column).over(before), F.lit(0)).alias(name))
 
 
-def running(df: DataFrame, key: str, amount: Column, name: str, rows: int | None = None, exclusive: bool = True) -> DataFrame:
+def running(df: DataFrame, key: str, amount: Column, name: str, rows: int | None = None, exclusive: bool = True, dense: bool = False) -> DataFrame:
     """df with the sum of amount over all rows before, in the order of key (and the row itself, if not exclusive)."""
-    parts = df if CHUNK in df.columns else chunked(df, key, rows)
+    parts = df if CHUNK in df.columns else chunked(df, key, rows, dense)
     parts = parts.withColumn("_amount", amount)
     until = in_chunk(key).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     offsets = before_chunk(parts.groupBy(CHUNK).agg(F.sum("_amount").alias("_total")), "_total", "_before")

@@ -34,7 +34,7 @@ def bounds(runs: DataFrame) -> DataFrame:
     """runs with start and end (exclusive), the positions that each covers."""
     from tabulith.operators.position import running
 
-    return running(runs, "run", F.col("repeats"), "start").withColumn("end", F.col("start") + F.col("repeats"))
+    return running(runs, "run", F.col("repeats"), "start", dense=True).withColumn("end", F.col("start") + F.col("repeats"))
 
 
 def decode(runs: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def lookup(runs: DataFrame, positions: DataFrame) -> DataFrame:
     """_pos and value for positions(_pos), without expanding: a position belongs to the last run that starts at or before it."""
     found = bounds(runs).select(F.col("start").alias("_pos"), "end", "value", F.lit(0).alias("_ask"))
     asked = positions.select(F.col("_pos").cast("long"), F.lit(None).cast("long").alias("end"), F.lit(None).cast(found.schema["value"].dataType).alias("value"), F.lit(1).alias("_ask"))
-    both = chunked(found.unionByName(asked), "_pos")
+    both = chunked(found.unionByName(asked), "_pos", dense=True)
     # the last run of each chunk is handed to the chunks after it, one row a chunk
     last = both.where("_ask = 0").groupBy(CHUNK).agg(F.max_by(F.struct("end", "value"), "_pos").alias("_last"))
     chunks = both.select(CHUNK).distinct().join(last, CHUNK, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.operators.position import CHUNK, before_chunk, chunked, in_chunk, running
+from tabulith.operators.position import CHUNK, before_chunk, chunked, running
 
 
 def lengths(df: DataFrame, value: str, pos: str = "_pos") -> DataFrame:
@@ -15,7 +15,7 @@ def lengths(df: DataFrame, value: str, pos: str = "_pos") -> DataFrame:
 
 def offsets(df: DataFrame, value: str, pos: str = "_pos") -> DataFrame:
     """pos, length, and the bytes of all values before it; null counts for nothing."""
-    return running(lengths(df, value, pos), "_pos", F.coalesce("length", F.lit(0)), "offset")
+    return running(lengths(df, value, pos), "_pos", F.coalesce("length", F.lit(0)), "offset", dense=True)
 
 
 def encode(df: DataFrame, value: str, pos: str = "_pos", rows: int | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def encode(df: DataFrame, value: str, pos: str = "_pos", rows: int | None = None
     table; start is where its bytes stand in the whole.
     """
     some = df.where(F.col(value).isNotNull()).select(F.col(pos).alias("_pos"), F.col(value).cast("binary").alias("b"))
-    parts = chunked(some, "_pos", rows or 100_000)
+    parts = chunked(some, "_pos", rows or 100_000, dense=True)
     packed = parts.groupBy(CHUNK).agg(F.array_sort(F.collect_list(F.struct("_pos", "b"))).alias("all"))
     packed = packed.select(CHUNK, F.col("all")[0]["_pos"].alias("first_pos"), F.transform("all", lambda x: F.octet_length(x["b"])).alias("lengths"), F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["b"])), "")).alias("bytes"))
     starts = before_chunk(packed.select(CHUNK, F.octet_length("bytes").cast("long").alias("n")), "n", "start")
@@ -45,6 +45,3 @@ def decode(chunks: DataFrame, as_text: bool = True) -> DataFrame:
 
 def roundtrip(df: DataFrame, value: str, pos: str = "_pos", rows: int | None = None) -> DataFrame:
     return decode(encode(df, value, pos, rows))
-
-
-__all__ = ["decode", "encode", "in_chunk", "lengths", "offsets", "roundtrip"]
