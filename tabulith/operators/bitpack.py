@@ -19,21 +19,25 @@ def bit_counts(df: DataFrame, value: str, logical: str = "SInt64") -> DataFrame:
     return found.select(F.posexplode("a").alias("bit", "ones"))
 
 
-def prefix_columns(value: Column, logical: str) -> tuple[Column, Column]:
-    """Aggregates: the length of the longest prefix that all values share, at most bits - 1, and the prefix.
+def shared_prefix(same: Column, some: Column, logical: str) -> tuple[Column, Column]:
+    """Length, at most bits - 1, and value of the longest prefix of values whose AND is `same` and whose OR is `some`.
 
-    What all values share is where the AND and the OR of them agree. Null values don't
-    count; without values both are null.
+    What all values share is where the two agree. Null, for no values, gives null.
     """
-    bits, x = bits_of(logical), value.cast("long")
-    same, any_ = F.bit_and(x), F.bit_or(x)
-    differ = same.bitwiseXOR(any_) if bits == 64 else same.bitwiseXOR(any_).bitwiseAND(F.lit(2**bits - 1))
+    bits = bits_of(logical)
+    differ = same.bitwiseXOR(some) if bits == 64 else same.bitwiseXOR(some).bitwiseAND(F.lit(2**bits - 1))
     used = F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
     length = F.when(differ.isNotNull(), F.least(F.lit(bits - 1), F.lit(bits) - used)).cast("int")
     low = same if bits == 64 else same.bitwiseAND(F.lit(2**bits - 1))
     return length, F.call_function("shiftrightunsigned", low, F.lit(bits) - length)
 
 
+def prefix_columns(value: Column, logical: str) -> tuple[Column, Column]:
+    """shared_prefix() as aggregates over a column; null values don't count."""
+    x = value.cast("long")
+    return shared_prefix(F.bit_and(x), F.bit_or(x), logical)
+
+
 def prefix(df: DataFrame, value: str, logical: str = "SInt64") -> DataFrame:
     """prefix_length, prefix, rows of a column."""
     length, bits = prefix_columns(F.col(value), logical)

@@ -15,10 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tabulith.functions.types import INTEGERS, NUMERIC, WIDTHS, logical_type
-from tabulith.operators import bitpack, runs
-from tabulith.operators.position import POS, with_position
+from tabulith.operators import bitpack
+from tabulith.operators.position import CHUNK, POS, chunked, in_chunk, with_position
 
 
 @dataclass(frozen=True)
@@ -201,32 +202,45 @@ def _as_integer(name: str, kind: T.DataType):
     return F.octet_length(name) if isinstance(kind, T.StringType) else F.col(name)
 
 
-def costs(df: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
+def costs(df: DataFrame, key: str, columns: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """column, part, logical, rows, plain, packed, run_length: whole columns' bytes, one level deep.
 
     Texts are costed by their lengths, timestamps by their microseconds. packed is null for
-    floats and where values share no prefix.
+    floats and where values share no prefix. All columns are costed in one pass in the
+    order of key: what each chunk has (runs, first and last value, AND, OR, count) is one
+    row, and runs that go on in the next chunk are counted once.
     """
-    out = None
-    for name in columns or [c for c in df.columns if c != key]:
-        kind = df.schema[name].dataType
-        text, stamp = isinstance(kind, T.StringType), isinstance(kind, (T.TimestampType, T.TimestampNTZType))
-        logical = "SInt32" if text else "SInt64" if stamp else logical_type(df.schema[name])
-        value = df.select(F.col(key).alias("_key"), _as_integer(name, kind).alias("value"))
-        width = WIDTHS[logical]
-        number = F.count("value")
+    names = columns or [c for c in df.columns if c != key]
+    logicals = {}
+    for c in names:
+        kind = df.schema[c].dataType
+        logicals[c] = "SInt32" if isinstance(kind, T.StringType) else "SInt64" if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else logical_type(df.schema[c])
+    values = {c: f"v{i}" for i, c in enumerate(names)}
+    parts = chunked(df.select(F.col(key).alias("_key"), *[_as_integer(c, df.schema[c].dataType).alias(v) for c, v in values.items()]), "_key", rows)
+    order = in_chunk("_key")
+    first = F.row_number().over(order) == 1
+    fresh = {v: F.when(first, 1).when(F.col(v).eqNullSafe(F.lag(v).over(order)), 0).otherwise(1) for v in values.values()}
+    marked = parts.withColumns({f"{v}_new": x for v, x in fresh.items()})
+    facts = []
+    for c, v in values.items():
+        facts += [F.sum(f"{v}_new").alias(f"{v}_runs"), F.min_by(v, "_key").alias(f"{v}_first"), F.max_by(v, "_key").alias(f"{v}_last"), F.count(v).alias(f"{v}_rows")]
+        if logicals[c] in INTEGERS:
+            facts += [F.bit_and(F.col(v).cast("long")).alias(f"{v}_and"), F.bit_or(F.col(v).cast("long")).alias(f"{v}_or")]
+    by_chunk = Window.orderBy(CHUNK)  # one row a chunk
+    chunks = marked.groupBy(CHUNK).agg(*facts)
+    goes_on = {f"{v}_on": F.when(F.row_number().over(by_chunk) == 1, 0).otherwise(F.col(f"{v}_first").eqNullSafe(F.lag(f"{v}_last").over(by_chunk)).cast("int")) for v in values.values()}
+    chunks = chunks.withColumns(goes_on)
+    out = []
+    for c, v in values.items():
+        width, count = WIDTHS[logicals[c]], F.coalesce(F.sum(f"{v}_rows"), F.lit(0))
         packed = F.lit(None).cast("long")
-        if logical in INTEGERS:
-            length, _ = bitpack.prefix_columns(F.col("value"), logical)
-            packed = F.when(length > 0, bitpack.size_columns(length, number, logical)[2])
-        flat = value.agg(number.alias("rows"), packed.alias("packed"))
-        found = runs.encode(value, "_key", "value").agg(F.count("*").alias("runs"))
-        row = flat.crossJoin(found).select(  # one row each
-            F.lit(name).alias("column"), F.lit("lengths" if text else "values").alias("part"), F.lit(logical).alias("logical"), "rows",
-            (F.col("rows") * width).alias("plain"), F.col("packed"), (F.col("runs") * (width + 4)).alias("run_length"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+        if logicals[c] in INTEGERS:
+            length, _ = bitpack.shared_prefix(F.bit_and(f"{v}_and"), F.bit_or(f"{v}_or"), logicals[c])
+            packed = F.when(length > 0, bitpack.size_columns(length, count, logicals[c])[2])
+        found = F.coalesce(F.sum(f"{v}_runs") - F.sum(f"{v}_on"), F.lit(0))
+        part = "lengths" if isinstance(df.schema[c].dataType, T.StringType) else "values"
+        out.append(F.struct(F.lit(c).alias("column"), F.lit(part).alias("part"), F.lit(logicals[c]).alias("logical"), count.alias("rows"), (count * width).alias("plain"), packed.alias("packed"), (found * (width + 4)).alias("run_length")))
+    return chunks.agg(F.array(*out).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
 def choices(costed: DataFrame) -> DataFrame:

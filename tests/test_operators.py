@@ -162,6 +162,8 @@ def test_choose_from_a_sample(spark):
     df = spark.range(5000).select("id", F.lit("same").alias("s"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("n"))
     assert [n.encoding for n in choice.choose(df, "s", "id")][0] in ("BitPacking", "RunLength")
     assert len(choice.choose(df, "n", "id")) == 2
+    assert sorted(map(str, choice.costs(df, "id", rows=300).collect())) == sorted(map(str, choice.costs(df, "id").collect()))
+    assert choice.costs(df.limit(0), "id").select("rows", "run_length").distinct().collect() == [(0, 0)]
     costs = {r["column"]: r for r in choice.costs(df, "id").collect()}
     assert costs["s"]["plain"] == 20000 and costs["s"]["run_length"] == 8
     assert {r["column"]: r["encoding"] for r in choice.choices(choice.costs(df, "id")).collect()}["s"] == "RunLength"
