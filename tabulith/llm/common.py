@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Separators of words: space and the five ASCII control blanks. bytes.split() cuts at just these.
@@ -48,3 +55,37 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_user = ""
+
+
+def use_worker(user: str) -> None:
+    """Called as a task of an operator starts: what another operator remembered in this worker goes.
+
+    Spark keeps Python workers for later tasks, and with them all memos and models. Modules
+    that remember something put the function that forgets it into FORGET.
+    """
+    global _user
+    if user == _user:
+        return
+    if _user:
+        for forget_ in FORGET:
+            forget_()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _user = user
+
+
+#: Functions that drop what a module remembers in a worker.
+FORGET: list[Callable[[], None]] = []
+
+
+def text_runs(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts with about most_bytes each, so that what is held at once stays bounded."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(sizes) // most_bytes
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(texts)]]).tolist() if len(texts) else []
+    yield from zip(cuts[:-1], cuts[1:], strict=False)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import written
+from tabulith.llm.common import use_worker, written
 from tabulith.llm.components import components
 
 #: Rows of a block (what one task holds twice) at most, blocks at least, rows of a tile.
@@ -121,6 +121,7 @@ def _basis(classes: DataFrame, size: int) -> np.ndarray:
     """Principal axes of all unit vectors, the strongest first; size x size numbers reach the driver."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("embeddings")
         total = np.zeros((size, size))
         for batch in batches:
             x = _unit(batch.column(0), size)
@@ -141,6 +142,7 @@ def _linked(classes: DataFrame, size: int, count: int, least: float) -> DataFram
     axis = basis[:, 0]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("embeddings")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(_unit(batch.column(2), size) @ axis)], names=["class_id", "copies", "vector", "lead"])
 
@@ -152,6 +154,7 @@ def _linked(classes: DataFrame, size: int, count: int, least: float) -> DataFram
     furthest = np.concatenate([np.searchsorted(cuts, cuts + reach, "right"), [len(cuts)]]).astype(np.int32)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("embeddings")
         for batch in batches:
             block = np.searchsorted(cuts, batch.column(3).to_numpy(), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(block), pa.array(nearest[block]), pa.array(furthest[block])], names=["class_id", "copies", "vector", "block", "a", "z"])

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import documents
+from tabulith.llm.common import documents, use_worker
 from tabulith.llm.tokenizing import encoder, slices
 
 #: Windows of a block, the longest piece of a document, and the share of a block's room that is dealt out.
@@ -132,6 +132,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 409
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("packing")
         enc = encoder(tokenizer, keeps_blanks=False)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity)
         held: dict[int, tuple] = {}  # documents with pieces that wait for a window

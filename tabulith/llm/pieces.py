@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import documents
+from tabulith.llm.common import FORGET, documents, use_worker
 from tabulith.llm.tokenizing import MEMO_ENTRIES, Encoder, slices
 
 SPACE = "▁"
@@ -221,6 +221,7 @@ class PieceEncoder(Encoder):
 
 
 _encoders: dict[str, PieceEncoder] = {}
+FORGET.append(_encoders.clear)
 
 
 def piece_encoder(path: str) -> PieceEncoder:
@@ -241,6 +242,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("pieces")
         for batch in batches:
             row = 0
             for texts in slices(batch.column(1)):
@@ -256,6 +258,7 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
     """doc_id, text of rows(doc_id, ids); null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("pieces")
         for batch in batches:
             texts = [piece_encoder(model).decode(np.array(x.as_py() or [], np.int64)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -267,6 +270,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit), text_crc32 of the decoded text, same: whether it is the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("pieces")
         for batch in batches:
             row, enc = 0, piece_encoder(model)
             for texts in slices(batch.column(1)):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith.llm import boosting
-from tabulith.llm.common import documents
+from tabulith.llm.common import documents, text_runs, use_worker
 
 #: Labelled documents that the trees are fitted on at most, chosen by a hash of doc_id.
 FIT_ROWS = 20_000
@@ -85,21 +85,8 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
     return (counts[:, 0] < FEWEST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
 
 
-def _runs(column: pa.Array, most: int = 4 << 20) -> Iterator[list[bytes | None]]:
-    """The texts of a column as bytes, in runs of about `most` bytes."""
-    texts, held = [], 0
-    for x in column.cast(pa.large_binary()):
-        texts.append(x.as_py())
-        held += len(texts[-1] or b"")
-        if held >= most:
-            yield texts
-            texts, held = [], 0
-    if texts:
-        yield texts
-
-
 def column_statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    found = [statistics(x) for x in _runs(column)] or [statistics([])]
+    found = [statistics([x.as_py() for x in column.slice(a, b - a).cast(pa.large_binary())]) for a, b in text_runs(column, 4 << 20)] or [statistics([])]
     return np.concatenate([c for c, _ in found]), np.concatenate([f for _, f in found])
 
 
@@ -114,6 +101,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> b
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("quality")
         for batch in batches:
             _, features = column_statistics(batch.column(1))
             x = pa.FixedSizeListArray.from_arrays(pa.array(features.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
@@ -142,6 +130,7 @@ def scored(docs: DataFrame, model: boosting.Forest) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("quality")
         for batch in batches:
             counts, failed, score, kept = verdicts(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
@@ -155,6 +144,7 @@ def filtered(docs: DataFrame, model: boosting.Forest) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("quality")
         for batch in batches:
             yield batch.filter(pa.array(verdicts(batch.column(at), model)[3]))
 

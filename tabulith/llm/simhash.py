@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulith.llm.common import documents, written
+from tabulith.llm.common import documents, text_runs, use_worker, written
 from tabulith.llm.components import components
 
 #: Words of a shingle, seed of its hash, bits in which linked fingerprints may differ.
@@ -61,9 +61,11 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of each row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("simhash")
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(texts).view(np.int64))], names=["doc_id", "fp"])
+            for a, b in text_runs(batch.column(1)):
+                found = fingerprints(batch.column(1).slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")

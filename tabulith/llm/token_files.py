@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulith.llm.common import documents, fresh_path
+from tabulith.llm.common import documents, fresh_path, use_worker
 from tabulith.llm.tokenizing import encoder, slices
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -37,6 +37,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("token files")
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, keeps_blanks=True)
         for batch in batches:
             row = 0
@@ -92,6 +93,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("token files")
         for batch in batches:
             ids = batch.column(4)
             raw, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; at the bound the memo starts anew.
-MEMO_ENTRIES = 1_000_000
+from tabulith.llm.common import FORGET, text_runs
+
+#: Pieces that a worker remembers; at the bound half of them go.
+MEMO_ENTRIES = 600_000
 #: Pieces that are joined to one text for one call of the library.
 JOINED = 512
 
@@ -151,6 +154,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+FORGET.append(_encoders.clear)
 
 
 def encoder(path: str, keeps_blanks: bool) -> Encoder:
@@ -162,9 +166,6 @@ def encoder(path: str, keeps_blanks: bool) -> Encoder:
 
 
 def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
-    """The texts in runs of about most_bytes, so that what is held at once stays bounded."""
-    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    run = np.cumsum(sizes) // most_bytes
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(texts)]]) if len(texts) else []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=False):
-        yield texts.slice(int(a), int(b - a))
+    """The texts in runs of about most_bytes."""
+    for a, b in text_runs(texts, most_bytes):
+        yield texts.slice(a, b - a)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import fresh_path, written
+from tabulith.llm.common import fresh_path, use_worker, written
 
 #: Bytes from which equal payloads are stored once.
 REVISIT_BYTES = 1000
@@ -134,6 +134,7 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     rows = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("warc")
         files, folder = pyarrow.fs.FileSystem.from_uri(path)
         files.create_dir(folder, recursive=True)
         task, made = TaskContext.get(), 0
@@ -168,6 +169,7 @@ def read_archives(manifest: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("warc")
         files, folder = pyarrow.fs.FileSystem.from_uri(path)
         for batch in batches:
             for name in batch.column(0).to_pylist():

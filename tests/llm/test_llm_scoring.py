@@ -119,13 +119,15 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.scored(df.limit(0), model).count() == 0
 
 
-def test_model_probabilities_add_up(spark):
-    """In a context that both classes know, each class gives all its continuations a probability of one."""
+def test_what_the_model_knows(spark):
     rows = [("the cat sat on a mat", 0), ("the car is a bad thing", 1), ("cab cad can", 1), ("cat cat cup", 0)]
     counts = toxicity.count_grams(spark.createDataFrame(rows, "text string, toxic int"))
     weights = {r["gram"]: r["evidence"] for r in toxicity.weigh(counts).collect()}
     seen = {r["gram"]: (r["toxic"], r["ordinary"]) for r in counts.collect()}
-    assert {g for g, (t, _) in seen.items() if t} == {g for g in weights if not g.endswith(toxicity.OTHER)}
+    often = Counter()
+    for g, (t, _) in seen.items():
+        often[g[:-1]] += t
+    assert {g for g, (t, _) in seen.items() if t and often[g[:-1]] >= toxicity.LEAST_SEEN} == {g for g in weights if not g.endswith(toxicity.OTHER)}
     model = toxicity.Model(list(weights), list(weights.values()))
     assert model.word(b"cad") > model.word(b"cat") and model.word(b"unknown") == 0
 
@@ -285,4 +287,36 @@ def test_pipeline(spark):
             assert docs.where("n_chars <> length(text)").count() == 0
     assert docs.select("doc_id").distinct().count() == before
     assert len(corpus_pipeline.STAGES) == 5
-    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Each stage on what its predecessor kept, by the definitions alone or by the operator's own verdicts."""
+    from test_llm_dedup import fingerprint, least_reached, line_brute
+    from test_llm_tokens import check_packed
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lambda df: {r["doc_id"]: r.asDict() for r in df.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name, expected):
+        nonlocal docs
+        docs = corpus_pipeline.written(stages[name](spark, docs, sf), "step")
+        assert rows(docs) == expected
+
+    here = rows(docs)
+    kept = {r["doc_id"] for r in quality.scored(docs, quality.fit_model(docs, labels)).collect() if r["kept"]}
+    step("quality rules", {i: r for i, r in here.items() if i in kept})
+    here = rows(docs)
+    clean = {r["doc_id"] for r in toxicity.scored(docs, toxicity.fit_model(docs, labels)).collect() if not r["predicted"]}
+    step("toxicity", {i: r for i, r in here.items() if i in clean})
+    here = rows(docs)
+    left = {k[0]: t for k, t in line_brute([(i, r["text"]) for i, r in here.items()], 25).items()}
+    step("line dedup", {i: r | {"text": left[i], "n_chars": len(left[i])} for i, r in here.items()})
+    here = rows(docs)
+    prints = {i: fingerprint(r["text"]) for i, r in here.items()}
+    reached = least_reached(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    step("simhash near-dedup", {i: r for i, r in here.items() if reached[i] == i})
+    here = rows(docs)
+    check_packed(stages["packing"](spark, docs, sf).collect(), [(i, r["text"]) for i, r in here.items()], 4096, 2)
+    assert corpus_pipeline.run(spark, sf).count() == stages["packing"](spark, docs, sf).count()
