@@ -59,10 +59,6 @@ def compatible(a: str, b: str) -> bool:
     return group(a) == group(b)
 
 
-def size_of(logical: str) -> int | None:
-    return WIDTHS[logical]
-
-
 def _whole(number: int) -> Column:
     """An integer of any size as a literal."""
     return F.lit(str(number)).cast("decimal(38,0)")

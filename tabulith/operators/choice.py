@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabulith.functions.types import INTEGERS, NUMERIC, WIDTHS, logical_type
-from tabulith.operators import bitpack
+from tabulith.operators import bitpack, nulls
 from tabulith.operators.position import CHUNK, POS, chunked, in_chunk, with_position
 
 
@@ -169,7 +169,7 @@ def leaves(logical: str, values: list) -> list[tuple[str, np.ndarray]]:
     """A column as plain leaves: a bitmap if it has nulls, lengths and bytes if its values vary in length."""
     out = []
     if any(v is None for v in values):
-        bits = np.zeros(8 * (len(values) // 8 + 1), np.uint8)
+        bits = np.zeros(8 * nulls.bitmap_bytes(len(values)), np.uint8)
         bits[: len(values)] = [v is None for v in values]
         out.append(("UInt8", np.packbits(bits, bitorder="little")))
         values = [v for v in values if v is not None]

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tabulith.functions import types as logical
-from tabulith.operators import choice
+from tabulith.operators import choice, nulls
 from tabulith.operators.position import POS
 from tabulith.plans.tree import ENCODING_TAGS
 
@@ -174,7 +174,7 @@ class _Out:
 def _plain(kind: str, values: list, name: str) -> tuple:
     """A column as nested (encoding, type, rows, parts or values, facts)."""
     if any(v is None for v in values):
-        bits = np.zeros(8 * (len(values) // 8 + 1), np.uint8)
+        bits = np.zeros(8 * nulls.bitmap_bytes(len(values)), np.uint8)
         bits[: len(values)] = [v is None for v in values]
         inner = _plain(kind, [v for v in values if v is not None], name)
         return ("Null", kind, len(values), [("Binary", "UInt8", len(bits) // 8, np.packbits(bits, bitorder="little"), {}), inner], {"length": len(values)})
