@@ -14,9 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Separators of words: space and the five ASCII control blanks. bytes.split() cuts at just these.
-BLANK = r"[\x20\x09-\x0D]+"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.

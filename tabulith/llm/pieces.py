@@ -188,6 +188,8 @@ class Transducer:
 class PieceEncoder(Encoder):
     """Ids of texts with the shortest paths of repeated runs remembered. A null text counts as empty."""
 
+    plain_is_clean = False
+
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
         with open(path, "rb") as file:
             self.machine = Transducer(file.read())

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from tabulith.llm.tokenizing import encoder, slices
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page, rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
+#: Documents that a reader of ids holds at once.
+BATCH_ROWS = 2000
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
@@ -90,22 +94,31 @@ def part_offsets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
+
+    A task reads a file at a time, batch by batch, through pyarrow.fs, so the ids go from
+    the pages to numpy without becoming rows in between.
+    """
+    out = "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_worker("token files")
-        for batch in batches:
-            ids = batch.column(4)
-            raw, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
-            crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
-                names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"],
-            )
-
-    rows = spark.read.schema(SCHEMA).parquet(path).mapInArrow(digest, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
+        for file in (x for batch in batches for x in batch.column(0).to_pylist()):
+            files, place = pyarrow.fs.FileSystem.from_uri(file)
+            with files.open_input_file(place) as source:
+                for rows in pq.ParquetFile(source).iter_batches(BATCH_ROWS, columns=["doc_id", "part", "start_in_part", "ids"]):
+                    ids = rows.column("ids")
+                    raw, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
+                    crc = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("doc_id"), rows.column("part"), rows.column("start_in_part"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
+                        names=[x.split()[0] for x in out.split(", ")],
+                    )
+
+    files = spark.read.schema(SCHEMA).parquet(path).inputFiles()
+    named = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)))
     # one row a file: bounded by the number of write tasks
-    return rows.join(F.broadcast(part_offsets(spark, path)), "part").select("doc_id", (F.col("offset") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    return named.mapInArrow(digest, out).join(F.broadcast(part_offsets(spark, path)), "part").select("doc_id", (F.col("offset") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

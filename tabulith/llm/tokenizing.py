@@ -18,7 +18,10 @@ import pyarrow.compute as pc
 from tabulith.llm.common import FORGET, text_runs
 
 #: Pieces that a worker remembers; at the bound half of them go.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 700_000
+#: Marks that are split from the letters before them; they form no contraction, as an apostrophe does.
+MARK_SET = ".,!?;:#*$%&|"
+MARKS = tuple(MARK_SET)
 #: Pieces that are joined to one text for one call of the library.
 JOINED = 512
 
@@ -31,6 +34,8 @@ class Encoder:
     A null text counts as empty.
     """
 
+    plain_is_clean = True
+
     def __init__(self, path: str, keeps_blanks: bool, memo_entries: int = MEMO_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -42,7 +47,7 @@ class Encoder:
         self.between = "\n" if keeps_blanks else " ~ "
         (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.feed = self._plain(["\n"])[0]
-        self.stops = dict(zip(".,", self._plain([".", ","]), strict=True))
+        self.marks: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -53,14 +58,17 @@ class Encoder:
         word = piece.removeprefix("\n")
         return not self.keeps_blanks or bool(word) and not word[0].isspace() and not word[-1].isspace()
 
-    def _encode(self, pieces: list[str], lead: str) -> list[bytes]:
+    def _encode(self, pieces: list[str], lead: str, clean: bool) -> list[bytes]:
         """The ids of each piece, where lead stands before it; many in one call of the library."""
         mark = self.between.strip(" ")
+        if clean and self.keeps_blanks:
+            alone = []  # a clean piece has no line feed but in front, and that is taken off
+        else:
+            alone = [i for i, x in enumerate(pieces) if mark in x or not x or x.strip() is not x]
         out = [b""] * len(pieces)
-        alone = [i for i, x in enumerate(pieces) if mark in x or not x or x != x.strip()]
         for i, ids in zip(alone, self._plain([lead + pieces[i] for i in alone]), strict=True):
             out[i] = ids
-        rest = sorted(set(range(len(pieces))).difference(alone))
+        rest = sorted(set(range(len(pieces))).difference(alone)) if alone else range(len(pieces))
         groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
         joined = [lead + (self.between + lead).join([pieces[i] for i in g]) for g in groups]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
@@ -72,21 +80,27 @@ class Encoder:
         return out
 
     def _learn(self, pieces: list[str]) -> None:
-        """Remember new pieces. Where letters end, a stop or comma is a token of its own: only the letters are encoded."""
-        memo, stops = self.memo, self.stops
-        ended = [x for x in pieces if x[-1:] in stops and x[-2:-1].isalpha()]
-        rest = [x for x in pieces if x[-1:] not in stops or not x[-2:-1].isalpha()]
-        rest += {x[:-1] for x in ended if x[:-1] not in memo}.difference(rest)
+        """Remember new pieces. Where letters end, marks are tokens of their own: only the letters are encoded with the rest."""
+        memo, marked = self.memo, []
+        ended = [x for x in pieces if x.endswith(MARKS)]
+        for x in ended:
+            base = x.rstrip(MARK_SET)
+            if base[-1:].isalpha():
+                marked.append((x, base, x[len(base) :]))
+        new_marks = list({m for _, _, m in marked}.difference(self.marks))
+        self.marks.update(zip(new_marks, self._plain(new_marks), strict=True))
+        bases = {b for _, b, _ in marked if b not in memo}
+        rest = list(set(pieces).difference([x for x, _, _ in marked]) | bases)
         if self.keeps_blanks:
             starts = [x for x in rest if x[0] == "\n"]
-            memo.update(zip(starts, [self.feed + x for x in self._encode([x[1:] for x in starts], "")], strict=True))
+            memo.update(zip(starts, [self.feed + x for x in self._encode([x[1:] for x in starts], "", True)], strict=True))
             rest = [x for x in rest if x[0] != "\n"]
-        memo.update(zip(rest, self._encode(rest, " " if self.keeps_blanks else ""), strict=True))
-        memo.update([(x, memo[x[:-1]] + stops[x[-1]]) for x in ended])
+        memo.update(zip(rest, self._encode(rest, " " if self.keeps_blanks else "", True), strict=True))
+        memo.update([(x, memo[b] + self.marks[m]) for x, b, m in marked])
 
     def _heads(self, pieces: list[str]) -> list[bytes]:
         """The ids of the first pieces of texts."""
-        return self._encode(pieces, "")
+        return self._encode(pieces, "", False)
 
     def _head_odd(self, piece: str) -> bool:
         """Whether a first piece is not cut off from what follows it."""
@@ -99,7 +113,8 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (unsigned 32-bit) of all texts, each with end_id, if any, at its end, and the ends of the texts in them."""
         if len(self.memo) > self.memo_entries:
-            self.memo.clear()
+            # the oldest half stays: frequent pieces come early
+            self.memo = dict(islice(self.memo.items(), self.memo_entries // 2))
         # a line feed ends a piece, and where blanks matter starts the next
         split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " \n" if self.keeps_blanks else " "), " ")
         first, after = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py(), split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
@@ -108,7 +123,8 @@ class Encoder:
         memo = self.memo
         known = list(map(memo.get, words))
         new = [i for i, x in enumerate(known) if x is None]
-        self._learn([w for w in map(words.__getitem__, new) if self._clean(w)])
+        # what strip() leaves alone has no blank at its ends, which is nearly always so
+        self._learn([w for w in map(words.__getitem__, new) if w and w.strip() is w and self.plain_is_clean or self._clean(w)])
         for i in new:
             known[i] = memo.get(words[i])
         if self.keeps_blanks:
