@@ -1,10 +1,13 @@
 """Quality, toxicity, sharding, WARC and the pipeline."""
 
+import glob
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -12,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tabulith.llm import boosting, quality, sharding, toxicity, warc
+from tabulith.llm import boosting, quality, registry, sharding, toxicity, warc
 
 SF1 = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -320,3 +323,13 @@ def test_pipeline_against_brute_force(spark, sf):
     here = rows(docs)
     check_packed(stages["packing"](spark, docs, sf).collect(), [(i, r["text"]) for i, r in here.items()], 4096, 2)
     assert corpus_pipeline.run(spark, sf).count() == stages["packing"](spark, docs, sf).count()
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_sql(spark, sf, name):
+    connection = duckdb.connect()
+    for path in glob.glob(f"{sf}/*.parquet"):
+        connection.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    other = connection.sql(registry.ORACLE_SQL[name])
+    found = registry.QUERIES[name](spark, sf).select(*other.columns)
+    assert sorted(str(tuple(r)) for r in found.collect()) == sorted(str(r) for r in other.fetchall())
