@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,18 +16,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, as a whole URI.
 
-    It is the one the session names in spark.checkpoint.dir. Only where that is
-    unset (tests on one machine) is a folder of our own made and set.
+    It is the one the session names in spark.checkpoint.dir. Only where that is unset
+    (tests on one machine) is a folder of our own made, one an application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tabulith-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='tabulith-')}"
+            spark.sparkContext.setCheckpointDir(_own[app])
+        named = _own[app]
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

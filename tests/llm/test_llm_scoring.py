@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tabulith.llm import boosting, quality, registry, sharding, toxicity, warc
+from tabulith.llm import boosting, common, quality, registry, sharding, toxicity, warc
 
 SF1 = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -333,3 +333,25 @@ def test_sql(spark, sf, name):
     other = connection.sql(registry.ORACLE_SQL[name])
     found = registry.QUERIES[name](spark, sf).select(*other.columns)
     assert sorted(str(tuple(r)) for r in found.collect()) == sorted(str(r) for r in other.fetchall())
+
+
+def test_the_shared_folder(spark):
+    assert common.shared_dir(spark).startswith("file:///")
+
+    class Unnamed:  # a session that names no folder
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+    own = common.shared_dir(Unnamed())
+    assert own.startswith("file:///") and own == common.shared_dir(Unnamed()) != common.shared_dir(spark)
+    common._own.clear()
+
+
+def test_written_tables_and_their_end(spark):
+    kept = common.written(spark.range(5), "five")
+    assert kept.count() == 5
+    common.forget(spark, kept)
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        kept.collect()
