@@ -261,7 +261,7 @@ def split_offsets(spark, sf):
 
 @_query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS value_pos, o_orderpriority AS value FROM orders")
 def split_roundtrip(spark, sf):
-    return split.roundtrip(_orders(spark, sf, "o_orderpriority"), "o_orderpriority", rows=10_000)
+    return split.roundtrip(_orders(spark, sf, "o_orderpriority"), "o_orderpriority")
 
 
 # --- sampling and choice -------------------------------------------------------------

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tabulith.operators.position import CHUNK, before_chunk, chunked, running
+from tabulith.operators.position import CHUNK, before_chunk, chunked, in_chunk, running
 
 
 def lengths(df: DataFrame, value: str, pos: str = "_pos") -> DataFrame:
@@ -19,28 +20,30 @@ def offsets(df: DataFrame, value: str, pos: str = "_pos") -> DataFrame:
 
 
 def encode(df: DataFrame, value: str, pos: str = "_pos", rows: int | None = None) -> DataFrame:
-    """chunk, first_pos, start, lengths, bytes: the values of each chunk of rows end to end.
+    """chunk, first_pos, start, starts, lengths, bytes: the values of each chunk of rows end to end.
 
     A chunk is what one task holds, so no value is ever cut and nothing grows with the
-    table; start is where its bytes stand in the whole.
+    table; start is where its bytes stand in the whole, starts and lengths where each
+    value stands in them.
     """
     some = df.where(F.col(value).isNotNull()).select(F.col(pos).alias("_pos"), F.col(value).cast("binary").alias("b"))
-    parts = chunked(some, "_pos", rows or 100_000, dense=True)
-    packed = parts.groupBy(CHUNK).agg(F.array_sort(F.collect_list(F.struct("_pos", "b"))).alias("all"))
-    packed = packed.select(CHUNK, F.col("all")[0]["_pos"].alias("first_pos"), F.transform("all", lambda x: F.octet_length(x["b"])).alias("lengths"), F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["b"])), "")).alias("bytes"))
+    parts = chunked(some, "_pos", rows or 20_000, dense=True).withColumn("n", F.octet_length("b"))
+    before = F.coalesce(F.sum("n").over(in_chunk("_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    packed = parts.withColumn("s", before).groupBy(CHUNK).agg(F.array_sort(F.collect_list(F.struct("_pos", "s", "n", "b"))).alias("all"))
+    packed = packed.select(CHUNK, F.col("all")[0]["_pos"].alias("first_pos"), F.col("all.s").alias("starts"), F.col("all.n").alias("lengths"), F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["b"])), "")).alias("bytes"))
     starts = before_chunk(packed.select(CHUNK, F.octet_length("bytes").cast("long").alias("n")), "n", "start")
-    return packed.join(F.broadcast(starts), CHUNK).select(F.col(CHUNK).alias("chunk"), "first_pos", "start", "lengths", "bytes")
+    return packed.join(F.broadcast(starts), CHUNK).select(F.col(CHUNK).alias("chunk"), "first_pos", "start", "starts", "lengths", "bytes")
 
 
 def decode(chunks: DataFrame, as_text: bool = True) -> DataFrame:
-    """value_pos (without gaps), value: the inverse of encode()."""
+    """value_pos (without gaps), value: the inverse of encode(). Values are cut from a chunk's bytes before they become rows."""
     counts = chunks.select(F.col("chunk").alias(CHUNK), F.size("lengths").cast("long").alias("n"))
     firsts = before_chunk(counts, "n", "first")
-    one = chunks.join(F.broadcast(firsts), chunks["chunk"] == firsts[CHUNK])
-    ends = F.expr("aggregate(lengths, array(0), (s, x) -> array_append(s, element_at(s, -1) + x))")
-    each = one.withColumn("ends", ends).select("first", "bytes", "ends", F.posexplode("lengths").alias("i", "n"))
-    value = F.substring("bytes", F.element_at("ends", F.col("i") + 1) + 1, F.col("n"))
-    return each.select((F.col("first") + F.col("i")).cast("long").alias("value_pos"), (value.cast("string") if as_text else value).alias("value"))
+    values = F.transform(F.arrays_zip("starts", "lengths"), lambda x: F.substring(F.col("bytes"), x["starts"] + 1, x["lengths"]))
+    one = chunks.select(F.col("chunk").alias(CHUNK), values.alias("values")).join(F.broadcast(firsts), CHUNK)
+    # outer, as else a filter on the array's size, with all that makes it, is moved below and run for every value
+    each = one.select("first", F.posexplode_outer("values").alias("i", "b")).where("i is not null")
+    return each.select((F.col("first") + F.col("i")).cast("long").alias("value_pos"), (F.col("b").cast("string") if as_text else F.col("b")).alias("value"))
 
 
 def roundtrip(df: DataFrame, value: str, pos: str = "_pos", rows: int | None = None) -> DataFrame:
