@@ -135,6 +135,25 @@ def test_what_the_model_knows(spark):
     assert model.word(b"cad") > model.word(b"cat") and model.word(b"unknown") == 0
 
 
+def test_the_model_knows_all_that_the_toxic_class_has_seen(spark):
+    """Also what it has seen once; and in each context the table is whole: looked up by hash it gives what its rows say."""
+    rows = [("the cat sat on a mat", 0), ("the car is a bad thing", 1), ("cab cad can", 1), ("cat cat cup", 0), ("such fools", 1)]
+    counts = toxicity.count_grams(spark.createDataFrame(rows, "text string, toxic int"))
+    found = toxicity.weigh(counts)
+    weights = {r["gram"]: r["evidence"] for r in found.collect()}
+    assert {r["gram"] for r in counts.collect() if r["toxic"]} == {g for g in weights if not g.endswith(toxicity.OTHER)}
+    stored = found.selectExpr("xxhash64(gram) as key", "evidence").toPandas()
+    model = toxicity.Model.stored(stored["key"].to_numpy(), stored["evidence"].to_numpy())
+    for word in (b"fools", b"fool", b"cad", b"cat", b"thing", b"zebra", "foé".encode()):
+        total, known = 0.0, True
+        for i, g in enumerate(toxicity.grams(word)):
+            if known:
+                known = g in weights
+                total += weights[g] if known else weights.get(g[:-1] + toxicity.OTHER, 0.0) if i else 0.0
+        assert model.word(word) == pytest.approx(total)
+    assert model.word(b"fools") > 0.5
+
+
 def brute_shards(docs, shards):
     """The smallest capacity, from all single groups, and each group's shard in the same even cut."""
     groups = {}
