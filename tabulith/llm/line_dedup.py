@@ -13,6 +13,11 @@ lines so covered in the later place are deleted. A run's first fingerprint lies
 GRAM words from its start and its last one less than 2 * GRAM words from its end, so each
 fingerprint carries the hashes of the lines that near to it, and the extension needs no
 further join.
+
+The first occurrence may stand in other surroundings than a later pair. So the shortest
+runs of 2 * GRAM words, from each line on and up to each line, are matched whole as well
+(`whole`): every line of a longer run lies in one of them that the run contains, and what
+a shortest run is depends on its own lines alone, so it is one at all its places.
 """
 
 from __future__ import annotations
@@ -41,11 +46,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     return found.withColumn("e", end).withColumn("s", F.col("e") - F.col("w"))
 
 
-def fingerprints(docs: DataFrame, gram: int = GRAM) -> DataFrame:
+def fingerprints(docs: DataFrame, gram: int = GRAM, whole: bool = False) -> DataFrame:
     """doc, version, gram, n, last, before, after of every fingerprint of docs(doc, version, text).
 
     n and last: the gram's first and last line; before and after: (h, n) of the lines on
-    either side of line n, the nearest first.
+    either side of line n, the nearest first. With whole, lines that are no fingerprint
+    have rows too, without a gram, and each row has wide: (wide, n, last), hash and lines
+    of the shortest runs of 2 * gram words from this line on and up to it.
     """
     one = Window.partitionBy("doc", "version")
     by_start, by_end = one.orderBy("s"), one.orderBy("e")
@@ -61,7 +68,17 @@ def fingerprints(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     before = F.reverse(F.collect_list(F.struct("h", "n")).over(by_start.rangeBetween(-gram, -1)))
     after = F.collect_list("next").over(by_end.rangeBetween(0, 2 * gram - 1))
     lines = lines.withColumn("before", before).withColumn("after", after)
-    return lines.where("taken").select("doc", "version", "gram", "n", "last", "before", "after")
+    names = ["doc", "version", "gram", "n", "last", "before", "after"]
+    if not whole:
+        return lines.where("taken").select(*names)
+    on, up = by_start.rangeBetween(0, 2 * gram - 1), by_end.rangeBetween(-(2 * gram - 1), 0)
+    run = lambda over: F.struct(F.xxhash64(F.collect_list("h").over(over)).alias("wide"), F.min("n").over(over).alias("n"), F.max("n").over(over).alias("last"))
+    long_on = F.max("e").over(on) - F.col("s") >= 2 * gram
+    # where the lines before the last have the words, it is no shortest run from its first line on; others are there already
+    long_up = F.col("s") - F.min("s").over(up) >= 2 * gram
+    lines = lines.withColumn("up", F.when(long_up, run(up))).withColumn("on", F.when(long_on, run(on)))
+    lines = lines.withColumn("wide", F.array_compact(F.array("on", "up"))).where("taken or size(wide) > 0")
+    return lines.select("doc", "version", *[F.when(F.col("taken"), F.col(c)).alias(c) for c in names[2:]], "wide")
 
 
 def _equal(a: Column, b: Column) -> Column:
@@ -71,9 +88,28 @@ def _equal(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
-def repeated(docs: DataFrame, gram: int = GRAM) -> DataFrame:
+def _later_wide(prints: DataFrame) -> DataFrame:
+    """doc, version, run: the places, but for the first and those that overlap it, of shortest runs of twice the gram's words."""
+    wide = prints.select("doc", "version", F.explode("wide").alias("r")).select("doc", "version", "r.*")
+    first = wide.groupBy("wide").agg(F.min(F.struct("doc", "version", "n", "last")).alias("f"), F.count("*").alias("times")).where("times > 1").select("wide", "f")
+    same = F.col("doc").eqNullSafe(F.col("f.doc")) & (F.col("version") == F.col("f.version"))
+    later = wide.join(first, "wide").where(~(same & (F.col("n") <= F.col("f.last"))))
+    return later.select("doc", "version", F.struct(F.col("n").alias("a"), F.col("last").alias("z")).alias("run"))
+
+
+def _joined(runs: DataFrame) -> DataFrame:
+    """Runs of a document that overlap or touch become one."""
+    one = Window.partitionBy("doc", "version").orderBy("run")
+    until = F.max("run.z").over(one.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.when(F.col("run.a") <= until + 1, 0).otherwise(1))
+    runs = runs.withColumn("group", F.sum("new").over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "version", "group").agg(F.min("run.a").alias("a"), F.max("run.z").alias("z")).select("doc", "version", F.struct("a", "z").alias("run"))
+
+
+def repeated(docs: DataFrame, gram: int = GRAM, whole: bool = False) -> DataFrame:
     """doc, version, runs: for each document with repeated lines the line numbers (a, z) of the later runs."""
-    prints = written(fingerprints(docs, gram), "prints")
+    found = written(fingerprints(docs, gram, whole), "prints")
+    prints = found.where("gram is not null")
     # partial minima are taken before the shuffle, so a gram that very many documents share is no burden
     first = prints.groupBy("gram").agg(F.min(F.struct("doc", "version", "n", "before", "after")).alias("f"), F.count("*").alias("times")).where("times > 1").select("gram", "f")
     later = prints.join(first, "gram").where(~(F.col("doc").eqNullSafe(F.col("f.doc")) & (F.col("version") == F.col("f.version")) & (F.col("n") == F.col("f.n"))))
@@ -81,6 +117,8 @@ def repeated(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     start = F.when(back > 0, F.element_at("before", back)["n"]).otherwise(F.col("n"))
     end = F.greatest(F.when(on > 0, F.element_at("after", on)["n"]), F.col("last"))
     runs = later.select("doc", "version", F.struct(start.alias("a"), end.alias("z")).alias("run"))
+    if whole:
+        runs = _joined(runs.unionByName(_later_wide(found)))
     return runs.groupBy("doc", "version").agg(F.array_sort(F.collect_set("run")).alias("runs"))
 
 
@@ -95,7 +133,7 @@ def _cut(text: Column, runs: Column) -> Column:
     return F.when(F.size(runs) > 0, F.array_join(kept, "\n")).otherwise(text)
 
 
-def deduplicated(docs: DataFrame, gram: int = GRAM) -> DataFrame:
+def deduplicated(docs: DataFrame, gram: int = GRAM, whole: bool = False) -> DataFrame:
     """The rows of docs, their text without later repeated runs of lines, and no other change.
 
     The first of equal runs, by doc_id, hash of the text and line, stays where it is; a
@@ -103,8 +141,9 @@ def deduplicated(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     and get the same text; null doc_ids come first. Null texts stay null, empty ones
     empty; a text all of whose lines go keeps its lines without words. All columns stay
     as they are, with any names. Empty input gives no rows. DataFrame functions only.
+    Without whole, lines of a run around its grams go only where the first occurrence has them too.
     """
-    runs = repeated(_named(docs), gram)
+    runs = repeated(_named(docs), gram, whole)
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("version"))
     runs = runs.select(F.col("doc").alias("of"), F.col("version").alias("of_version"), "runs")
@@ -116,12 +155,12 @@ def deduplicated(docs: DataFrame, gram: int = GRAM) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, changed and the text that is left, of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.octet_length("text").alias("was"))
-    return deduplicated(docs).select("doc_id", F.coalesce(F.octet_length("text") < F.col("was"), F.lit(False)).alias("changed"), "text")
+    return deduplicated(docs, whole=True).select("doc_id", F.coalesce(F.octet_length("text") < F.col("was"), F.lit(False)).alias("changed"), "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """deduplicated(), with n_chars, where docs has it, set to the characters that are left."""
-    left = deduplicated(docs)
+    """deduplicated() whole, with n_chars, where docs has it, set to the characters that are left."""
+    left = deduplicated(docs, whole=True)
     if "n_chars" not in docs.columns:
         return left
     kind = docs.schema["n_chars"].dataType

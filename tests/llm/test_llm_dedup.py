@@ -182,6 +182,34 @@ def test_any_long_run_is_found(spark):
         assert found[i] == (text if i < 12 else text.replace(before + "\n", ""))
 
 
+def test_a_run_goes_whole_whatever_surrounds_its_lines_elsewhere(spark):
+    """Lines of an earlier document don't keep a longer passage that two later ones share; a run is no copy of what it overlaps."""
+    rng = random.Random(9)
+
+    def lines(n):
+        out = []
+        while n:
+            k = min(n, rng.randint(1, 30))
+            out.append(" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k)))
+            n -= k
+        return out
+
+    docs, shared = [], {}
+    for i in range(0, 90, 3):
+        x, b, y = lines(20), lines(30), lines(20)
+        for k, middle in enumerate((b, x + b + y, x + b + y)):
+            docs.append((i + k, "\n".join([*lines(12), *middle, *lines(12)])))
+        shared[i + 2] = x + b + y
+    docs.append((1000, "\n".join(["same"] * 60)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.stage(spark, df, "").collect()}
+    for i, passage in shared.items():
+        own = [x for x in dict(docs)[i].split("\n") if x not in passage]
+        assert found[i] == own
+        assert all(any(x in found[j] for j in (i - 2, i - 1)) for x in passage)
+    assert "same" in found[1000] and found[0] == dict(docs)[0].split("\n")
+
+
 def test_line_dedup_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long, "a", 1), (2, None, "b", 2), (3, "", "c", 3), (4, f"{long}\n\n{long}\nend", "d", 4), (1, long, "e", 5), (None, long, "f", 6), (5, "x " * 20000, "g", 7), (6, "\n\n", "h", 8)]
