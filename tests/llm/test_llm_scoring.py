@@ -154,6 +154,20 @@ def test_the_model_knows_all_that_the_toxic_class_has_seen(spark):
     assert model.word(b"fools") > 0.5
 
 
+def test_whole_words_are_read(spark):
+    """Each character of a long word is counted and scored, also its end, and words that marks join are words."""
+    assert toxicity.words(b"Well-you-idiot, fine/idiot (don't) f*ck") == [b"well", b"you", b"idiot", b"fine", b"idiot", b"don't", b"f*ck"]
+    long = "representationally"
+    found = toxicity.grams(long.encode())
+    assert "".join(g[-1] for g in found) == long + toxicity.END and all(len(g) <= toxicity.DEPTH + 2 for g in found)
+    assert found[-1] == long[-toxicity.DEPTH :] + toxicity.END
+    rows = [("representationalfool " * 9, 1), ("representationalwood other things " * 9, 0)]
+    weights = toxicity.weigh(toxicity.count_grams(spark.createDataFrame(rows, "text string, toxic int"))).collect()
+    model = toxicity.Model([r["gram"] for r in weights], [r["evidence"] for r in weights])
+    fool, wood = model.word(b"representationalfool"), model.word(b"representationalwood")
+    assert fool > 1 > wood and model.word(b"unseen representationalfool".replace(b" ", b"")) > 1
+
+
 def brute_shards(docs, shards):
     """The smallest capacity, from all single groups, and each group's shard in the same even cut."""
     groups = {}
