@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -103,7 +104,7 @@ def test_toxicity_over_a_table(spark):
 
 
 def test_toxicity_learns_no_held_out_label(spark):
-    docs = spark.createDataFrame([(i, f"vile word{i % 9} here" if i % 2 else f"fine word{i % 9} here") for i in range(600)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"vile word{i % 9} here {i}" if i % 2 else f"fine word{i % 9} here {i}") for i in range(600)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
     flipped = spark.createDataFrame([(i, 1 - i % 2 if toxicity.fold(i) == 1 else i % 2) for i in range(600)], "doc_id long, toxic int")
     a, b = ({r["doc_id"]: r["score"] for r in toxicity.scored(docs, toxicity.fit_model(docs, x)).collect()} for x in (labels, flipped))
@@ -122,50 +123,108 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.scored(df.limit(0), model).count() == 0
 
 
-def test_what_the_model_knows(spark):
-    rows = [("the cat sat on a mat", 0), ("the car is a bad thing", 1), ("cab cad can", 1), ("cat cat cup", 0)]
-    counts = toxicity.count_grams(spark.createDataFrame(rows, "text string, toxic int"))
-    weights = {r["gram"]: r["evidence"] for r in toxicity.weigh(counts).collect()}
-    seen = {r["gram"]: (r["toxic"], r["ordinary"]) for r in counts.collect()}
-    often = Counter()
-    for g, (t, _) in seen.items():
-        often[g[:-1]] += t
-    assert {g for g, (t, _) in seen.items() if t and often[g[:-1]] >= toxicity.LEAST_SEEN} == {g for g in weights if not g.endswith(toxicity.OTHER)}
-    model = toxicity.Model(list(weights), list(weights.values()))
-    assert model.word(b"cad") > model.word(b"cat") and model.word(b"unknown") == 0
-
-
-def test_the_model_knows_all_that_the_toxic_class_has_seen(spark):
-    """Also what it has seen once; and in each context the table is whole: looked up by hash it gives what its rows say."""
-    rows = [("the cat sat on a mat", 0), ("the car is a bad thing", 1), ("cab cad can", 1), ("cat cat cup", 0), ("such fools", 1)]
-    counts = toxicity.count_grams(spark.createDataFrame(rows, "text string, toxic int"))
-    found = toxicity.weigh(counts)
-    weights = {r["gram"]: r["evidence"] for r in found.collect()}
-    assert {r["gram"] for r in counts.collect() if r["toxic"]} == {g for g in weights if not g.endswith(toxicity.OTHER)}
-    stored = found.selectExpr("xxhash64(gram) as key", "evidence").toPandas()
-    model = toxicity.Model.stored(stored["key"].to_numpy(), stored["evidence"].to_numpy())
-    for word in (b"fools", b"fool", b"cad", b"cat", b"thing", b"zebra", "foé".encode()):
-        total, known = 0.0, True
-        for i, g in enumerate(toxicity.grams(word)):
-            if known:
-                known = g in weights
-                total += weights[g] if known else weights.get(g[:-1] + toxicity.OTHER, 0.0) if i else 0.0
-        assert model.word(word) == pytest.approx(total)
-    assert model.word(b"fools") > 0.5
-
-
-def test_whole_words_are_read(spark):
-    """Each character of a long word is counted and scored, also its end, and words that marks join are words."""
+def kneser_ney_brute(rows):
+    """ln of the toxic over the ordinary probability, as a function of a word and the one before it, from the definition."""
+    d = toxicity.DISCOUNT
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for text, toxic in rows:
+        of = toxicity.words(text.encode())
+        one[toxic].update(set(of))
+        two[toxic].update(set(zip([toxicity.START, *of[:-1]], of, strict=True)))
+    pairs = set(two[0]) | set(two[1])
+    befores = Counter(w for _, w in pairs)
+
+    def model(counts, below):
+        n, kinds = sum(counts.values()), len(+counts)
+        return lambda x, low: (max(counts[x] - d, 0) + d * kinds * low) / n
+
+    def gain(a, na, b, nb):
+        part = lambda n, of: n * np.log(n / of) if n else 0.0
+        return sum(part(x, y) + part(y - x, y) for x, y in ((a, na), (b, nb))) - part(a + b, na + nb) - part(na + nb - a - b, na + nb)
+
+    weight = lambda *x: 1 / (1 + np.exp(min(toxicity.DOUBT - gain(*x), 50)))
+    base = lambda w: (max(befores[w] - d, 0) + d * len(befores) / (len(befores) + 1)) / sum(befores.values())
+    shared = lambda w: model(one[0] + one[1], None)(w, base(w))
+
+    def alone(w):
+        q = weight(one[1][w], sum(one[1].values()), one[0][w], sum(one[0].values()))
+        return [q * model(one[c], None)(w, base(w)) + (1 - q) * shared(w) for c in (0, 1)]
+
+    def evidence(v, w):
+        if w not in befores:
+            return 0.0
+        ordinary, toxic = alone(w)
+        of = [Counter({x: n for x, n in two[c].items() if x[0] == v}) for c in (0, 1)]
+        if two[0][v, w] + two[1][v, w] >= 2 and of[0] and of[1]:
+            q = weight(two[1][v, w], sum(of[1].values()), two[0][v, w], sum(of[0].values()))
+            both = model(of[0] + of[1], None)((v, w), shared(w))
+            ordinary, toxic = (q * model(of[c], None)((v, w), low) + (1 - q) * both * low / shared(w) for c, low in ((0, ordinary), (1, toxic)))
+        return float(np.log(toxic / ordinary))
+
+    return evidence
+
+
+def test_the_model_is_kneser_ney(spark, monkeypatch):
+    """Each word's evidence, alone and after another, is what the definition gives, however rare."""
+    monkeypatch.setattr(toxicity, "LEAST_CHANGE", 0.0)
+    monkeypatch.setattr(toxicity, "DOUBT", 1.0)
+    rows = [("the cat sat on a mat", 0), ("you are the car", 1), ("you are a cab, you cab", 1), ("cat cat cup", 0), ("you are fine and the cat is fine", 0), ("the cat is fine", 0), ("such fools", 1), ("the fools are here", 1)]
+    counts = toxicity.count_expressions(spark.createDataFrame(rows, "text string, toxic int"))
+    stored = toxicity.weigh(counts).toPandas()
+    model = toxicity.Model(*(stored[c].to_numpy() for c in ("pair", "key", "evidence")))
+    brute = kneser_ney_brute(rows)
+    texts = [t for t, _ in rows] + ["fools sat here", "an unknown cat", "cup of the fools", ""]
+    for text, x in zip(texts, model.texts(pa.array(texts)), strict=True):
+        of = toxicity.words(text.encode())
+        wanted = [brute(v, w) for v, w in zip([toxicity.START, *of[:-1]], of, strict=False)]
+        ids, sizes = toxicity._coded(pa.array([text.encode()], pa.large_binary()))
+        assert model.evidence(ids, sizes).tolist() == pytest.approx(wanted)
+        assert x == pytest.approx(np.mean(wanted) if of else 0.0)
+    assert brute(b"the", b"fools") > 0 > brute(toxicity.START, b"cat") and len(stored) > 20
+
+
+def test_probabilities_add_up(spark):
+    """Over all words and the unknown one each class's own share and the shared one are probabilities."""
+    rows = [("a b c a d", 0), ("a x y", 1), ("b c x x", 1), ("e f", 0)] * 3
+    one, _ = toxicity.probabilities(toxicity.count_expressions(spark.createDataFrame(rows, "text string, toxic int")))
+    found = one.toPandas()
+    assert found["shared_p"].sum() < 1 and found["shared_p"].sum() > 0.9
+    assert abs(found["toxic_p"].sum() - 1) < 0.1 and abs(found["ordinary_p"].sum() - 1) < 0.1
+
+
+def test_a_large_table_keeps_what_weighs_most(spark):
+    rows = spark.range(1000).selectExpr("false as pair", "id as key", "id / 100.0 as evidence", "id / 100.0 as change", "2 as seen")
+    kept = {r["key"] for r in toxicity._heaviest(rows, 100).collect()}
+    assert 0 < len(kept) <= 100 and kept == set(range(1000 - len(kept), 1000))
+    assert toxicity._heaviest(rows, 5000).count() == 999 and toxicity._heaviest(rows.limit(0), 5).count() == 0
+
+
+CHUNKS = st.sampled_from([b"a", b"B", " é".encode(), b" ", b"\n", b"-", b"*", b"!", b"f*ck", b"", b"\x1c", "漢".encode(), b"'t", b"representationally"])
+
+
+@given(st.lists(st.one_of(st.none(), st.lists(CHUNKS, max_size=12).map(b"".join)), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_words_of_a_column(texts):
+    """What the column's buffer is cut to is what words() gives: whole words, however long."""
+    ids, sizes = toxicity._coded(pa.array([b"zz", *texts, b"yy"], pa.large_binary()).slice(1, len(texts)))
+    found = [toxicity.words(t) for t in texts]
+    assert sizes.tolist() == [len(x) for x in found] and ids.tolist() == [toxicity.word_id(w) for x in found for w in x]
+
+
+def test_whole_words_are_read():
     assert toxicity.words(b"Well-you-idiot, fine/idiot (don't) f*ck") == [b"well", b"you", b"idiot", b"fine", b"idiot", b"don't", b"f*ck"]
-    long = "representationally"
-    found = toxicity.grams(long.encode())
-    assert "".join(g[-1] for g in found) == long + toxicity.END and all(len(g) <= toxicity.DEPTH + 2 for g in found)
-    assert found[-1] == long[-toxicity.DEPTH :] + toxicity.END
-    rows = [("representationalfool " * 9, 1), ("representationalwood other things " * 9, 0)]
-    weights = toxicity.weigh(toxicity.count_grams(spark.createDataFrame(rows, "text string, toxic int"))).collect()
-    model = toxicity.Model([r["gram"] for r in weights], [r["evidence"] for r in weights])
-    fool, wood = model.word(b"representationalfool"), model.word(b"representationalwood")
-    assert fool > 1 > wood and model.word(b"unseen representationalfool".replace(b" ", b"")) > 1
+    assert toxicity.word_id(b"representationalfool") != toxicity.word_id(b"representationalwood")
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_labels_shuffled_or_broadcast(spark, monkeypatch, most):
+    """The number of labels chooses the plan, not the result; equal texts count once."""
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", most)
+    docs = spark.createDataFrame([(i, f"vile word{i % 9} here" if i % 2 else f"fine word{i % 9} here") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, toxicity.fit_model(docs, labels)).collect()}
+    assert len({round(s, 9) for s in found.values()}) <= 18
+    assert found == pytest.approx({i: found[i % 18] for i in found})
 
 
 def brute_shards(docs, shards):
