@@ -13,7 +13,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
@@ -22,11 +24,13 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a whole URI.
 
-    It is the one the session names in spark.checkpoint.dir. Only where that is unset
-    (tests on one machine) is a folder of our own made, one an application.
+    It is the one the session names in spark.checkpoint.dir. Only where that is unset and
+    all runs on one machine is a folder of our own made, one an application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = f"file://{tempfile.mkdtemp(prefix='tabulith-')}"
@@ -58,6 +62,26 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns with exactly these names, also where other columns' names differ from them in case alone."""
+    return numbered(df).select(*[F.col(f"_{df.columns.index(x)}").alias(x) for x in names])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by their places (_0, _1 ...), so that no two names clash."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI, under the name that Arrow has for its scheme, and the path in it."""
+    scheme, _, rest = uri.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+#: Schemes of Hadoop's file systems that Arrow calls otherwise.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
