@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import FORGET, documents, use_worker
+from tabulith.llm.common import FORGET, documents, picked, use_worker
 from tabulith.llm.tokenizing import MEMO_ENTRIES, Encoder, slices
 
 SPACE = "▁"
@@ -193,7 +193,7 @@ class PieceEncoder(Encoder):
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
         with open(path, "rb") as file:
             self.machine = Transducer(file.read())
-        self.keeps_blanks, self.memo_entries, self.memo = True, memo_entries, {}
+        self.keeps_blanks, self.memo_entries, self.memo, self.special = True, memo_entries, {}, []
         self.feed = self._run("\n")
 
     def _run(self, run: str) -> bytes:
@@ -233,7 +233,7 @@ def piece_encoder(path: str) -> PieceEncoder:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
@@ -292,6 +292,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digests() of all documents by a model with byte fallback."""
     import public_tokenizers
 
     return digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

@@ -15,14 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulith.llm.common import documents, fresh_path, use_worker
+from tabulith.llm.common import documents, file_system, fresh_path, picked, use_worker
 from tabulith.llm.tokenizing import encoder, slices
 
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
@@ -36,7 +35,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode docs(doc_id, text) and write the files of the layout above to path.
 
     A null text counts as empty: it gets end_id alone. Repeated doc_ids stay, next to
-    each other, in an order that their texts fix; null doc_ids come first. Empty input
+    each other, in the order of their texts' hashes; null doc_ids come first. Empty input
     gives files without rows. Other columns are left out, whatever their names.
     """
 
@@ -57,9 +56,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 at += len(ids)
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        picked(docs, "doc_id", "text")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange("doc_id", "hash", "row")  # rows with one doc_id, or without, are not one task
+        .sortWithinPartitions("doc_id", "hash", "text")
+        .select("doc_id", "text")
     )
     (
         ordered.mapInArrow(encode, SCHEMA)
@@ -104,7 +106,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_worker("token files")
         for file in (x for batch in batches for x in batch.column(0).to_pylist()):
-            files, place = pyarrow.fs.FileSystem.from_uri(file)
+            files, place = file_system(file)
             with files.open_input_file(place) as source:
                 for rows in pq.ParquetFile(source).iter_batches(BATCH_ROWS, columns=["doc_id", "part", "start_in_part", "ids"]):
                     ids = rows.column("ids")
@@ -122,6 +124,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_digests() of files of all documents, each with id 0 at its end."""
     import public_tokenizers
 
     path = fresh_path(spark, "tokens")

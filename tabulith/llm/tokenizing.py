@@ -31,7 +31,8 @@ class Encoder:
 
     keeps_blanks: the tokenizer is of the byte-level kind, where a space belongs to the
     word after it and runs of blanks are tokens. Otherwise blanks only separate.
-    A null text counts as empty.
+    A null text counts as empty. A text that holds the string of a special token goes to
+    the library whole.
     """
 
     plain_is_clean = True
@@ -40,8 +41,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # texts with the string of a special token go to the plain one
+        self.special = [x.content for x in self.plain.get_added_tokens_decoder().values()]
         self.keeps_blanks, self.memo_entries = keeps_blanks, memo_entries
         self.memo: dict[str, bytes] = {}
         self.between = "\n" if keeps_blanks else " ~ "
@@ -85,7 +87,7 @@ class Encoder:
         ended = [x for x in pieces if x.endswith(MARKS)]
         for x in ended:
             base = x.rstrip(MARK_SET)
-            if base[-1:].isalpha():
+            if base[-1:].isalpha() and base[-1:].isascii():  # others may become a letter and something else
                 marked.append((x, base, x[len(base) :]))
         new_marks = list({m for _, _, m in marked}.difference(self.marks))
         self.marks.update(zip(new_marks, self._plain(new_marks), strict=True))
@@ -111,7 +113,22 @@ class Encoder:
         return b"".join(self._plain(self._glued(text.split(" "))))
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (unsigned 32-bit) of all texts, each with end_id, if any, at its end, and the ends of the texts in them."""
+        """Ids (unsigned 32-bit) of all texts, each with end_id, if any, at its end, and the ends of the texts in them.
+
+        As in the library's own call, the string of a special token is that token wherever it stands.
+        """
+        special = np.zeros(len(texts), bool)
+        for x in self.special:
+            special |= pc.match_substring(texts, x).fill_null(False).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._encode_texts(texts, end_id)
+        ids, ends = self._encode_texts(pc.if_else(pa.array(special), "", texts), end_id)
+        parts = np.split(ids, ends[:-1])
+        for i in np.flatnonzero(special).tolist():
+            parts[i] = np.concatenate([np.array(self.plain.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4"), parts[i]])
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
+    def _encode_texts(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > self.memo_entries:
             # the oldest half stays: frequent pieces come early
             self.memo = dict(islice(self.memo.items(), self.memo_entries // 2))

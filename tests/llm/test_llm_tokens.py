@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2
@@ -21,16 +22,20 @@ ODD = [
     "", None, " ", "  ", " a", "a ", "a b", "a  b", "a\n b", "a \n b", "a\n", "\n", "\n\n a", "a\tb c\t", "<|endoftext|> z", "it's I'll , . ,. a., b.,c", "é, ß. 1. 2, x1. ٣. ²,",
     " ~ a ~", "~~ ~", "\x1c a \x1d b", "a  b 　c", "ﬁ. ①, á, ́.", "\xa0 a\xa0", "漢字. 漢,", "😀 😀", "x" * 5000, "word " * 3000, "▁ a▁b", "\x00",
 ]
-ATOMS = ["a", "the", " ", "  ", "\n", "\t", ".", ",", "ing", "é", "漢", "😀", "1", "~", "'s", " ", "▁", "<s>", "aaaa", "\x1f", "́"]
+ATOMS = ["İ", "İ,", "ǆ.", "ﬁ!", "<|endoftext|>", "<|startoftext|>", "<|", "A", "a", "the", " ", "  ", "\n", "\t", ".", ",", "ing", "é", "漢", "😀", "1", "~", "'s", " ", "▁", "<s>", "aaaa", "\x1f", "́"]
 TEXTS = st.lists(st.lists(st.sampled_from(ATOMS), max_size=12).map("".join), max_size=8)
 
 
 def direct(path, texts, end):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
+def spark_hash(text):
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - 2**64 if h >> 63 else h
+
+
 def split(found):
     ids, ends = found
     return [x.tolist() for x in np.split(ids, ends[:-1])] if len(ends) else []
@@ -71,7 +76,7 @@ def odd_docs(spark):
 def test_token_files(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     token_files.write_token_files(odd_docs(spark), path, BYTE, 0)
-    rows = sorted(odd_docs(spark).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+    rows = sorted(odd_docs(spark).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, spark_hash(r["text"])))
     expected, at = [], 0
     for r, ids in zip(rows, direct(BYTE, [r["text"] for r in rows], 0), strict=True):
         expected.append((r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
