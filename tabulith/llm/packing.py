@@ -12,11 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import documents, use_worker
+from tabulith.llm.common import documents, picked, use_worker
 from tabulith.llm.tokenizing import encoder, slices
 
 #: Windows of a block, the longest piece of a document, and the share of a block's room that is dealt out.
 BLOCK_WINDOWS, LONGEST_PIECE, DEALT = 128, 1024, 0.9985
+#: Shorter pieces that follow each other are dealt out together until they have so many tokens; pieces from which a block ends early.
+BUNDLE, BLOCK_PIECES = 64, 65_536
 
 
 def differencing(lengths: list[int], windows: int) -> list[int]:
@@ -80,15 +82,22 @@ class Packer:
     """Takes documents one by one, gives out pieces with their windows block by block.
 
     A piece: (document, start, length, sequence, offset). Full windows of a long document
-    stand alone; its rest, cut into pieces, shares windows with others.
+    stand alone; its rest, cut into pieces, shares windows with others. A block ends after
+    BLOCK_WINDOWS windows, or from BLOCK_PIECES pieces on with the window that is begun, and
+    short pieces are dealt out in bundles, so what a block holds is bounded.
     """
 
     def __init__(self, first_sequence: int, capacity: int):
         self.next, self.capacity = first_sequence, capacity
         self.piece = min(LONGEST_PIECE, max(1, capacity // 4))
-        self.room = int(BLOCK_WINDOWS * capacity * DEALT)
+        self.bundle = min(BUNDLE, self.piece)
         self.waiting: list[tuple[int, int, int]] = []
         self.total = 0
+        self.room = self._room(BLOCK_WINDOWS)
+
+    def _room(self, windows: int) -> int:
+        """Tokens that are dealt out to so many windows."""
+        return max(1, int(windows * self.capacity * DEALT))
 
     def add(self, document: int, tokens: int) -> Iterator[tuple[int, int, int, int, int]]:
         at = 0
@@ -101,19 +110,33 @@ class Packer:
             self.waiting.append((document, at, n))
             self.total += n
             at += n
+            if len(self.waiting) == BLOCK_PIECES:
+                begun = next(w for w in range(1, BLOCK_WINDOWS + 1) if self._room(w) >= self.total)
+                self.room = self._room(begun)
             if self.total == self.room:
                 yield from self.flush()
 
     def flush(self) -> Iterator[tuple[int, int, int, int, int]]:
         if not self.waiting:
             return
-        found, windows = pack([n for _, _, n in self.waiting], self.capacity)
+        lengths, of = [], []  # of bundles, and the bundle of each piece
+        open_ = -1
+        for _, _, n in self.waiting:
+            if n >= self.bundle or open_ < 0 or lengths[open_] >= self.bundle:
+                lengths.append(0)
+                if n < self.bundle:
+                    open_ = len(lengths) - 1
+            here = len(lengths) - 1 if n >= self.bundle else open_
+            lengths[here] += n
+            of.append(here)
+        found, windows = pack(lengths, self.capacity)
         used = [0] * windows
-        for (document, at, n), window in zip(self.waiting, found, strict=True):
+        for (document, at, n), bundle in zip(self.waiting, of, strict=True):
+            window = found[bundle]
             yield document, at, n, self.next + window, used[window]
             used[window] += n
         self.next += windows
-        self.waiting, self.total = [], 0
+        self.waiting, self.total, self.room = [], 0, self._room(BLOCK_WINDOWS)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -173,17 +196,19 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 409
         if last := list(packer.flush()):
             yield rows(last)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packed() of all documents, 4096 tokens a sequence."""
     import public_tokenizers
 
     return packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """packed() of docs; nulls, repeats, no rows and other columns are as described there."""
     import public_tokenizers
 
     return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
