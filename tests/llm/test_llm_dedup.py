@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tabulith.llm import embedding_dedup, line_dedup, simhash
 from tabulith.llm.components import components
@@ -85,14 +86,87 @@ def test_simhash_odd_rows(spark):
     found = simhash.near_duplicates(df).collect()
     assert len(found) == len(rows)
     assert {r["component_id"] for r in found if r["doc_id"] in (1, 2, 14)} == {1}
-    kept = simhash.stage(spark, df, "")
-    assert kept.columns == df.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len([i for i in ids if i is not None]) == len({r["component_id"] for r in found if r["component_id"]})
-    assert ids.count(None) == 1
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def similar_brute(rows):
+    """The (doc_id, text) that stay, by all pairs of shingle sets."""
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+    def shingles(text):
+        words = WORD.findall(low(text))
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(t) for _, t in rows]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    root = least_reached(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
+    version = lambda t: 42 if t is None else (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    firsts = {}
+    for i, (doc, text) in enumerate(rows):
+        place = (doc is None, doc or 0, version(text))
+        firsts[root[i]] = min(firsts.get(root[i], (place, i)), (place, i))
+    return sorted(str(rows[i]) for _, i in firsts.values())
+
+
+def near_copies(seed, n):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(n):
+        words = [word() for _ in range(rng.choice([3, 12, 80, 200]))]
+        rows.append((10 * i, " ".join(words)))
+        for k in range(rng.choice([0, 0, 1, 4])):
+            changed = list(words)
+            for _ in range(rng.choice([0, 1, 2, 5])):
+                changed[rng.randrange(len(changed))] = word()
+            rows.append((10 * i + k, " ".join(changed)))  # some with a doc_id that is there already
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_of_similar_documents_stays(spark, seed):
+    rows = near_copies(seed, 40)
+    random.Random(seed).shuffle(rows)
+    found = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(str(tuple(r)) for r in found) == similar_brute(rows)
+
+
+def test_similar_documents_of_a_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = sorted(str((r["doc_id"], r["text"])) for r in simhash.stage(spark, docs, sf).collect())
+    assert found == similar_brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_repeated_doc_ids_in_any_order(spark, monkeypatch, most):
+    """A unique text under a doc_id that is there again stays, whatever the order of the rows and however its candidates meet."""
+    monkeypatch.setattr(simhash, "BROADCAST_CANDIDATES", most)
+    rows = [(1, "A b c d e f g"), (5, "A b c d e f g"), (5, "B unlike this one here is"), (None, "B unlike this one here is"), (None, None), (7, ""), (7, ""), (8, "q w"), (None, "x y z u v w")]
+    for _ in range(3):
+        rows = rows[4:] + rows[:4]
+        df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, version string, `ROOT` int")
+        out = simhash.stage(spark, df, "")
+        assert out.columns == df.columns and sorted(str((r[0], r[1])) for r in out.collect()) == similar_brute(rows)
+    assert simhash.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_wider_balls(spark):
+    some = [0, 0b1111, 0b11111, 2**40 - 1, 2**62 | 1]
+    edges = [(r["u"], r["v"]) for r in simhash.links(spark.createDataFrame([(f,) for f in some], "fp long"), 4).collect()]
+    assert least_reached(some, edges) == {f: 0 if f < 2**39 or f == 2**62 | 1 else f for f in some}
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([], "fp long"), 3)
+
+
+def test_names_that_clash(spark):
+    """Columns whose names differ in case from those that are used stay as they are."""
+    rows = [(i, f"text {i} " + "w " * 60, "TEXT", 0) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string, DOC int").toDF("doc_id", "text", "TEXT", "DOC_ID")
+    for found in (simhash.stage(spark, df, ""), line_dedup.stage(spark, df, "")):
+        assert found.columns == df.columns and {r[2] for r in found.collect()} == {"TEXT"}
+    assert simhash.near_duplicates(df).count() == 4
+
+
 # --- line dedup
 
 
@@ -221,6 +295,24 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_equal_hashes_of_unequal_lines_delete_nothing(spark, monkeypatch):
+    """Grams that are taken for equal are compared line by line."""
+    lines = lambda k: [" ".join(f"{k}w{j}x{i}" for i in range(13)) for j in range(4)]
+    docs = spark.createDataFrame([(k, "\n".join(lines(k))) for k in range(3)], "doc_id long, text string")
+    real = line_dedup.fingerprints
+    monkeypatch.setattr(line_dedup, "fingerprints", lambda *a, **k: real(*a, **k).withColumn("gram", F.when(F.col("gram").isNotNull(), F.lit(7))))
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs).collect()} == {k: "\n".join(lines(k)) for k in range(3)}
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_rows_that_are_there_again(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_AGAIN", most)
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, long)] * 5 + [(None, long)] * 3 + [(3, "own " * 60)] * 2 + [(4, f"{long}\nend")]
+    found = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(2, "")] * 5 + [(None, long)] * 3 + [(3, "own " * 60)] * 2 + [(4, "end")]))
+
+
 def test_line_dedup_runs_no_python(spark, sf, capsys):
     line_dedup.op6_line_dedup(spark, sf).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
@@ -265,6 +357,17 @@ def test_near_vectors(spark, monkeypatch, size, tile, rows):
     assert found == vectors_brute(rounded)
 
 
+def test_many_vectors_with_one_lead(spark, monkeypatch):
+    """Vectors that no cut of the first coordinate parts are dealt to bounded blocks, and multiples are one class."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(3)
+    flat = np.eye(48, dtype=np.float32) + (rng.random((48, 48)) < 0.02)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([flat, flat[:10] * 3, flat[:5] * 0.25]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = sorted(str((r["vec_id"], r["n_links"], r["component_id"], r["kept"])) for r in embedding_dedup.near_vectors(df).collect())
+    assert found == vectors_brute(rows)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in embedding_dedup.near_vectors(df).orderBy("vec_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]
