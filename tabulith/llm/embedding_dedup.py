@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import use_worker, written
+from tabulith.llm.common import picked, use_worker, written
 from tabulith.llm.components import components
 
-#: Rows of a block (what one task holds twice) at most, blocks at least, rows of a tile.
-BLOCK_ROWS, LEAST_BLOCKS, TILE = 32_768, 8, 1024
+#: Rows and bytes of a block (what one task holds twice, in four copies) at most, about, blocks at least, rows of a tile.
+BLOCK_ROWS, BLOCK_BYTES, LEAST_BLOCKS, TILE = 32_768, 32 << 20, 8, 1024
 #: Where fewer of a tile's pairs are left, they are finished one by one instead of all together.
 SPARSE = 0.02
 
@@ -138,7 +138,8 @@ def _basis(classes: DataFrame, size: int) -> np.ndarray:
 def _linked(classes: DataFrame, size: int, count: int, least: float) -> DataFrame:
     """Rows (kind 0: class, copies linked; kind 1: class, a class of its component) for vectors of one size."""
     basis = _basis(classes, size)
-    blocks = max(LEAST_BLOCKS, -(-count // BLOCK_ROWS))
+    block_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * size)))
+    blocks = max(LEAST_BLOCKS, -(-count // block_rows))
     axis = basis[:, 0]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,16 +149,31 @@ def _linked(classes: DataFrame, size: int, count: int, least: float) -> DataFram
 
     placed = written(classes.select("class_id", "copies", "vector").mapInArrow(first, "class_id long, copies long, vector array<double>, lead double"), "placed")
     cuts = np.unique(placed.approxQuantile("lead", [i / blocks for i in range(1, blocks)], 0.1 / blocks))
-    # block b lies between cuts b - 1 and b; unit vectors further apart than reach are not linked
+    # range b lies between cuts b - 1 and b; unit vectors further apart than reach are not linked
     reach = float(np.sqrt(2 - 2 * least)) + 1e-9
-    nearest = np.concatenate([[0], np.searchsorted(cuts, cuts - reach, "left")]).astype(np.int32)
-    furthest = np.concatenate([np.searchsorted(cuts, cuts + reach, "right"), [len(cuts)]]).astype(np.int32)
+    nearest = np.concatenate([[0], np.searchsorted(cuts, cuts - reach, "left")])
+    furthest = np.concatenate([np.searchsorted(cuts, cuts + reach, "right"), [len(cuts)]])
+    # a range with more rows than a block, as where many vectors have one lead, is several blocks by hash
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("embeddings")
+        total = np.zeros(len(cuts) + 1, np.int64)
+        for batch in batches:
+            total += np.bincount(np.searchsorted(cuts, batch.column(0).to_numpy(), "right"), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["range", "n"])
+
+    held = {r["range"]: r["n"] for r in placed.select("lead").mapInArrow(sizes, "range long, n long").groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    parts = np.array([max(1, -(-held.get(b, 0) // block_rows)) for b in range(len(cuts) + 1)])
+    first_block = np.cumsum(parts) - parts
+    nearest, furthest = first_block[nearest].astype(np.int32), (first_block + parts - 1)[furthest].astype(np.int32)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_worker("embeddings")
         for batch in batches:
-            block = np.searchsorted(cuts, batch.column(3).to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(block), pa.array(nearest[block]), pa.array(furthest[block])], names=["class_id", "copies", "vector", "block", "a", "z"])
+            of, ids = np.searchsorted(cuts, batch.column(3).to_numpy(), "right"), batch.column(0).to_numpy().astype(np.uint64)
+            block = first_block[of] + ((ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % parts[of].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(block.astype(np.int32)), pa.array(nearest[of]), pa.array(furthest[of])], names=["class_id", "copies", "vector", "block", "a", "z"])
 
     steps = sorted({max(1, size * k // 4) for k in (1, 2, 3)} | {size})
 
@@ -180,16 +196,18 @@ def near_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
 
     Two vectors are linked if their cosine, in double precision, is at least `least`.
     Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing, nor do vectors of different lengths with each other. Equal vectors are one
-    class while they are compared and count one by one in n_links. Repeated vec_ids stay
+    nothing, nor do vectors of different lengths with each other. Vectors of one direction
+    are one class while they are compared and count one by one in n_links. Repeated vec_ids stay
     as rows of their own; component_id is the smallest vec_id reached, the row's own
     included (null only if all are null). Empty input gives no rows.
     """
     vector = F.col("embedding").cast("array<double>")
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
+    rows = picked(rows, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     sound = F.col("vector").isNotNull() & ~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0)
-    rows = rows.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), F.col("vector")).alias("vector"))
+    # with the largest component 1, so that a vector and its multiples are one class
+    most = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    rows = rows.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), F.transform("vector", lambda x: x / most)).alias("vector"))
     grouped = rows.where("vector is not null").groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     classes = written(grouped.withColumn("class_id", F.monotonically_increasing_id()).withColumn("size", F.size("vector")), "classes")
     sizes = classes.groupBy("size").count().collect()  # one row for each length of vectors
@@ -212,4 +230,5 @@ def near_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_vectors() of all embeddings, from a cosine of 0.9 on."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
