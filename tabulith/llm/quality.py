@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith.llm import boosting
-from tabulith.llm.common import documents, text_runs, use_worker
+from tabulith.llm.common import documents, numbered, picked, text_runs, use_worker
 
 #: Labelled documents that the trees are fitted on at most, chosen by a hash of doc_id.
 FIT_ROWS = 20_000
@@ -27,10 +29,11 @@ FEATURES = ["log_words", "word_length", "symbols", "dup_lines", "repeats", "dist
 MONOTONE = [-1 if x in ("symbols", "dup_lines", "repeats") else 0 for x in FEATURES]
 
 
-def repeated_words(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def repeated_words(hashes: np.ndarray, sizes: np.ndarray, words: list[list[bytes]]) -> np.ndarray:
     """For each text, its words in windows of five that the text has twice or more.
 
     hashes: 64-bit hashes of the words of all texts, one after another; sizes: words a text.
+    Windows with equal hashes are candidates, and their words are compared.
     """
     text = np.repeat(np.arange(len(sizes)), sizes)
     total = len(hashes)
@@ -48,6 +51,10 @@ def repeated_words(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if len(twice):
         near = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
         starts = inside[twice[near] == key]
+        begin = (np.cumsum(sizes) - sizes)[text[starts]]
+        windows = [(t, *words[t][i : i + WINDOW]) for t, i in zip(text[starts].tolist(), (starts - begin).tolist(), strict=True)]
+        seen = Counter(windows)
+        starts = starts[np.fromiter((seen[w] > 1 for w in windows), bool, len(windows))]
         for k in range(WINDOW):
             covered[starts + k] = True
     return np.bincount(text[covered], minlength=len(sizes))
@@ -57,6 +64,7 @@ def statistics(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """COUNTS (integers) and FEATURES (doubles) of each text; a null text counts as empty."""
     counts, features = np.zeros((len(texts), len(COUNTS)), np.int64), np.zeros((len(texts), len(FEATURES)))
     hashes: list[np.ndarray] = []
+    held: list[list[bytes]] = []
     upper, digits = bytes(range(65, 91)), bytes(range(48, 58))
     for i, text in enumerate(texts):
         text = text or b""
@@ -68,7 +76,8 @@ def statistics(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         symbols = len(text) - len(text.translate(None, SYMBOLS))
         dup = len(lines) - len(set(lines))
         counts[i] = n, chars, symbols, dup, 0
-        hashes.append(np.fromiter(map(hash, words), np.int64, n))
+        hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n))
+        held.append(words)
         m, c = max(n, 1), max(chars, 1)
         features[i] = (
             np.log1p(n), chars / m, symbols / m, dup / max(len(lines), 1), 0, len(set(words)) / m,
@@ -76,7 +85,7 @@ def statistics(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
             text.count(b"!") / m, text.count(b"|") / m, len(lines) / m, narrow / c,
         )
     if len(texts):
-        counts[:, 4] = repeated_words(np.concatenate(hashes).view(np.uint64), counts[:, 0])
+        counts[:, 4] = repeated_words(np.concatenate(hashes), counts[:, 0], held)
         features[:, 4] = counts[:, 4] / np.maximum(counts[:, 0], 1)
     return counts, features
 
@@ -107,7 +116,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> b
             x = pa.FixedSizeListArray.from_arrays(pa.array(features.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], names=["doc_id", "quality", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # fit_rows bounds what is broadcast
     found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x array<double>")
     found = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("s")).orderBy("doc_id").select("s.quality", "s.x").toPandas()
@@ -135,12 +144,16 @@ def scored(docs: DataFrame, model: boosting.Forest) -> DataFrame:
             counts, failed, score, kept = verdicts(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + "".join(f"{x} long, " for x in COUNTS) + "base_failed boolean, kept boolean, score double")
 
 
 def filtered(docs: DataFrame, model: boosting.Forest) -> DataFrame:
-    """The rows of docs that are kept, with all their columns as they are."""
+    """The rows of docs that are kept, with all their columns as they are.
+
+    Null, empty and wordless texts go; rows with repeated or null doc_ids are judged one by
+    one. Empty input gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,13 +161,16 @@ def filtered(docs: DataFrame, model: boosting.Forest) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(verdicts(batch.column(at), model)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = numbered(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() of all documents by trees fitted on the labels of quality."""
     docs = documents(spark, sf_dir)
     return scored(docs, fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """filtered() by trees fitted on those labelled documents that docs has."""
     return filtered(docs, fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
