@@ -1,7 +1,8 @@
 """WARC archives, compressed record by record with a Zstandard dictionary of their own.
 
 An archive file starts with a skippable frame that holds the dictionary, trained on
-records of that file; then each record is a frame by itself. Of records with equal
+records of that file, or where they are too few or too alike for training, the beginnings
+of its records as they are; then each record is a frame by itself. Of records with equal
 payloads of at least REVISIT_BYTES bytes one is a response and the others are revisits
 that refer to it and hold no payload.
 """
@@ -16,13 +17,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import fresh_path, use_worker, written
+from tabulith.llm.common import file_system, fresh_path, picked, use_worker, written
 
 #: Bytes from which equal payloads are stored once.
 REVISIT_BYTES = 1000
@@ -63,21 +63,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def archive(records: list[bytes]) -> bytes:
-    """The bytes of a file: the dictionary's frame, where the records suffice for one, and a frame for each record."""
+    """The bytes of a file: the dictionary's frame, and a frame for each record."""
     total = sum(map(len, records))
-    step = max(1, -(-total // TRAINED_BYTES))
-    dictionary = None
-    if len(records) >= 16:
-        try:
-            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 10)), records[::step], level=LEVEL)
-        except zstandard.ZstdError:
-            dictionary = None  # the records are too few or too alike
+    step, size = max(1, -(-total // TRAINED_BYTES)), min(DICTIONARY_BYTES, max(1024, total // 10))
+    try:
+        dictionary = zstandard.train_dictionary(size, records[::step], level=LEVEL)
+    except zstandard.ZstdError:  # too few records, or too alike
+        dictionary = zstandard.ZstdCompressionDict(b"".join(r[:512] for r in records[: size // 512]), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=True, write_checksum=True)
-    frames = [packer.compress(r) for r in records]
-    if dictionary is not None:
-        raw = dictionary.as_bytes()
-        frames.insert(0, struct.pack("<II", SKIPPABLE, len(raw)) + raw)
-    return b"".join(frames)
+    raw = dictionary.as_bytes()
+    return struct.pack("<II", SKIPPABLE, len(raw)) + raw + b"".join(map(packer.compress, records))
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,16 +121,17 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     twice have different names; only those in the returned table count. Empty input gives
     no files. Other columns are left out.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= REVISIT_BYTES)
-    firsts = large.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    rows = picked(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    large = F.octet_length("payload") >= REVISIT_BYTES
+    # small payloads are not looked up, and go to any partition
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small "), F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 16)))))
+    firsts = rows.where(large).groupBy("key").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("key", "first_id")
     refers = F.when((F.col("first_id") != F.col("page_id")) | F.col("page_id").isNull(), F.col("first_id"))
-    rows = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    rows = rows.join(firsts, "key", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_worker("warc")
-        files, folder = pyarrow.fs.FileSystem.from_uri(path)
+        files, folder = file_system(path)
         files.create_dir(folder, recursive=True)
         task, made = TaskContext.get(), 0
         held: list[bytes] = []
@@ -170,7 +166,7 @@ def read_archives(manifest: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_worker("warc")
-        files, folder = pyarrow.fs.FileSystem.from_uri(path)
+        files, folder = file_system(path)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with files.open_input_stream(f"{folder}/{name}", compression=None) as source:
@@ -184,5 +180,6 @@ def read_archives(manifest: DataFrame, path: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_archives() of archives of all pages."""
     path = fresh_path(spark, "warc")
     return read_archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path), path)
