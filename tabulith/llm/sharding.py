@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulith.llm.common import documents, written
+from tabulith.llm.common import documents, picked, written
 
 #: Shards, bytes that a document counts beside its text, hex digits of the first runs' digests.
 SHARDS, OVERHEAD, FIRST_DIGITS = 40, 16, 3
@@ -193,7 +193,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows; other columns are left out. DataFrame functions only.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("key"))
+    rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("key"))
     rows = written(rows, "rows")
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
     heavy, firsts, start, _ = partition(groups, shards)
@@ -207,7 +207,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         rows = rows.join(F.broadcast(known), "key", "left").withColumn("shard", F.coalesce("heavy_shard", "light_shard"))
     else:
         rows = rows.withColumnRenamed("light_shard", "shard")
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(CHUNKS)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key", F.monotonically_increasing_id()), F.lit(CHUNKS)))
     counts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -217,4 +217,5 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sharded() of all documents, in 40 shards."""
     return sharded(documents(spark, sf_dir))
