@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulith import cli
 from tabulith.functions import types
 from tabulith.operators import bitpack, choice, describe, nulls, position, runs, split
 from tabulith.plans import tree
-from tabulith.sources import container, store, synthetic, text
+from tabulith.sources import container, ingest, store, synthetic, text
 from tabulith.streaming import capture as streaming
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -65,12 +68,12 @@ def skip_n(spark, sf):
 
 @_query(POSITIONS + "SELECT CAST(_pos AS BIGINT) AS _pos, o_orderkey, o_totalprice FROM p WHERE _pos >= 500 AND _pos < 750")
 def slice_range(spark, sf):
-    return position.slice_rows(_orders(spark, sf, "o_totalprice"), 500, 250).select("_pos", "o_orderkey", "o_totalprice")
+    return position.slice_of(_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500, 250).select("_pos", "o_orderkey", "o_totalprice")
 
 
 @_query(POSITIONS + "SELECT CAST(_pos AS BIGINT) AS _pos, o_orderkey, o_totalprice FROM p WHERE _pos = 1234")
 def point_lookup(spark, sf):
-    return position.point(_orders(spark, sf, "o_totalprice"), 1234).select("_pos", "o_orderkey", "o_totalprice")
+    return position.slice_of(_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 1234, 1).select("_pos", "o_orderkey", "o_totalprice")
 
 
 @_query("SELECT CAST(count(*) AS BIGINT) AS length, CAST(1000 AS BIGINT) AS index, 1000 >= count(*) AS is_at_end FROM orders")
@@ -168,11 +171,11 @@ def rle_roundtrip(spark, sf):
     return runs.decode(_status_runs(spark, sf))
 
 
-@_query("SELECT _pos, value FROM (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _pos, o_orderstatus AS value FROM orders) WHERE _pos % 97 = 0")
+@_query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _pos, o_orderstatus AS value FROM orders")
 def rle_point_lookup(spark, sf):
-    orders = _table(spark, sf, "orders")
-    rows = orders.count()
-    return runs.lookup(_status_runs(spark, sf), spark.range(0, rows, 97).withColumnRenamed("id", "_pos"))
+    """Every position looked up in the runs, and one past the end, which has no row."""
+    rows = _table(spark, sf, "orders").count()
+    return runs.lookup(_status_runs(spark, sf), spark.range(rows + 1).withColumnRenamed("id", "_pos"))
 
 
 @_query("SELECT CAST(sum(o_custkey) AS BIGINT) AS total FROM orders")
@@ -277,12 +280,11 @@ def block_sample(spark, sf):
     return choice.block_sample(df, df.count()).select("_pos", "o_orderkey", "o_custkey")
 
 
-def _cost_sql(column: str, value: str, part: str, logical: str) -> str:
-    width = types.WIDTHS[logical]
+def _cost_sql(column: str, value: str, part: str, logical: str, width: int, integer: bool) -> str:
     bits = 8 * width
     # of a 32-bit value the 64-bit form has 32 sign bits more in front
     packed = "CAST(NULL AS BIGINT)"
-    if logical in types.INTEGERS:
+    if integer:
         used = f"CASE WHEN xor(bit_and(CAST({value} AS BIGINT)), bit_or(CAST({value} AS BIGINT))) = 0 THEN 0 ELSE length(bin(xor(bit_and(CAST({value} AS BIGINT)), bit_or(CAST({value} AS BIGINT))))) END"
         length = f"least({bits - 1}, {bits} - least({bits}, {used}))"
         packed = f"CASE WHEN {length} > 0 THEN CAST(((count(*) * ({bits} - {length})) // {bits} + 1) * {width} AS BIGINT) END"
@@ -294,11 +296,11 @@ def _cost_sql(column: str, value: str, part: str, logical: str) -> str:
 
 COSTS = " UNION ALL ".join(
     [
-        _cost_sql("o_custkey", "o_custkey", "values", "SInt64"),
-        _cost_sql("o_orderstatus", "octet_length(encode(o_orderstatus))", "lengths", "SInt32"),
-        _cost_sql("o_totalprice", "o_totalprice", "values", "Float64"),
-        _cost_sql("o_orderdate", "epoch_us(o_orderdate)", "values", "SInt64"),
-        _cost_sql("o_orderpriority", "octet_length(encode(o_orderpriority))", "lengths", "SInt32"),
+        _cost_sql("o_custkey", "o_custkey", "values", "SInt64", 8, True),
+        _cost_sql("o_orderstatus", "octet_length(encode(o_orderstatus))", "lengths", "SInt32", 4, True),
+        _cost_sql("o_totalprice", "o_totalprice", "values", "Float64", 8, False),
+        _cost_sql("o_orderdate", "epoch_us(o_orderdate)", "values", "SInt64", 8, True),
+        _cost_sql("o_orderpriority", "octet_length(encode(o_orderpriority))", "lengths", "SInt32", 4, True),
     ]
 )
 
@@ -341,7 +343,9 @@ def type_guess(spark, sf):
     return out
 
 
-_TYPE_ROWS = ", ".join(f"({tag}, '{n}', {w or 'NULL'})" for tag, (n, w) in enumerate(types.LOGICAL_TYPES))
+# Tags, names and widths of the logical types, for the other engine.
+_TYPE_ROWS = """(0, 'SInt8', 1), (1, 'SInt16', 2), (2, 'SInt32', 4), (3, 'SInt64', 8), (4, 'UInt8', 1), (5, 'UInt16', 2), (6, 'UInt32', 4), (7, 'UInt64', 8),
+    (8, 'Float16', 2), (9, 'Float32', 4), (10, 'Float64', 8), (11, 'Blob', NULL), (12, 'String', NULL)"""
 _TYPE_GROUP = "CASE WHEN {a}.width IS NULL THEN 'v' WHEN {a}.tag < 8 THEN 'i' || {a}.width ELSE {a}.type END"
 
 
@@ -376,7 +380,10 @@ def reinterpret_unsigned(spark, sf):
 
 @_query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, coalesce(n_name, '') AS n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
 def csv_all_string_scan(spark, sf):
-    return text.all_text(_table(spark, sf, "nation"))
+    """A CSV file read with every column as text."""
+    path = _shared(spark, "nation-csv")
+    _table(spark, sf, "nation").write.option("header", True).csv(path)
+    return text.read_csv(spark, path)
 
 
 _CELL = "CASE WHEN {c} LIKE '%,%' THEN '\"' || {c} || '\"' ELSE {c} END"
@@ -426,7 +433,11 @@ def describe_preview(spark, sf):
 
 def _shared(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -450,26 +461,48 @@ def container_nodes(spark, sf):
     return container.nodes_frame(spark, container.read_file(path)).select("id", "parent_id", "encoding", "logical")
 
 
-@_query("SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 2 = 0")
+@_query("SELECT * FROM orders UNION ALL SELECT * FROM orders")
 def store_append(spark, sf):
     """A table of a store, written and added to."""
     kept, orders = store.Store(spark, _shared(spark, "store")), _table(spark, sf, "orders")
     kept.write("run 1/orders", orders, sort_by="o_orderkey")
-    kept.write("run 1/orders", orders.where("o_orderkey % 2 = 0"), "append")
+    kept.write("run 1/orders", orders, "append")
     return kept.table("run 1/orders")
 
 
-@_query()
+#: A table of 5,000 rows whose columns call for different encodings.
+def _made(spark: SparkSession) -> DataFrame:
+    k = F.col("k")
+    return spark.range(5000).withColumnRenamed("id", "k").select(
+        "k", F.lit(7).cast("long").alias("constant"), (F.floor(k / 250) * 1000003).cast("long").alias("steps"), (F.pmod(k * 37, F.lit(64)) + 1000).cast("int").alias("narrow"), (k * 0.5).alias("half"),
+        F.when(k < 2600, "yes").otherwise("no").alias("word"),
+    )
+
+
+# The sample has 10 blocks of 50 rows, the first of each 500. k: values below 4,550 need 13 of 64 bits, 500 * 13 / 64 + 1 = 102 words.
+# narrow: 1,000 to 1,063 share 21 of 32 bits, 500 * 11 / 32 + 1 = 172 words. half: plain.
+@_query(
+    """SELECT * FROM (VALUES ('k', CAST(0 AS INTEGER), 'BitPacking(Binary)', CAST(816 AS BIGINT)), ('narrow', 0, 'BitPacking(Binary)', 688), ('half', 0, 'Binary', 4000))
+    AS t("column", part, tree, sample_bytes)"""
+)
 def encoding_choice_nested(spark, sf):
-    """Trees chosen from samples of every column of orders, two levels deep."""
-    orders = _table(spark, sf, "orders")
-    rows = [(c, i, n.describe(), n.total()) for c in orders.columns for i, n in enumerate(choice.choose(orders, c, "o_orderkey"))]
+    """Trees chosen from samples of the first rows of ten sections, two levels deep."""
+    made = _made(spark)
+    rows = [(c, i, n.describe(), n.total()) for c in ("k", "narrow", "half") for i, n in enumerate(choice.choose(made, c, "k", seed=None))]
     return spark.createDataFrame(rows, "column string, part int, tree string, sample_bytes long")
 
 
-@_query("SELECT row_number() OVER (ORDER BY o_orderkey) > 0 AS found FROM orders LIMIT 1")
+@_query("SELECT CAST(1 AS BIGINT) AS picked, count(*) > 1 AS there_are_others, CAST(10 AS BIGINT) AS rows_with_its_values FROM orders")
 def pick_random(spark, sf):
-    return position.pick_random(_table(spark, sf, "orders"), 3).select((F.col("o_orderkey") >= 0).alias("found"))
+    """Ten picks of a row: each is one row of orders with all its values; with so many rows they are not all one."""
+    orders = _table(spark, sf, "orders")
+    picks = [position.pick_random(orders, seed).withColumn("seed", F.lit(seed)) for seed in range(10)]
+    all_picks = picks[0]
+    for p in picks[1:]:
+        all_picks = all_picks.unionByName(p)
+    a_seed = all_picks.groupBy("seed").count().agg(F.max("count").alias("picked"))
+    found = all_picks.join(orders, orders.columns).agg(F.count("*").alias("rows_with_its_values"), (F.count_distinct("o_orderkey") > 1).alias("there_are_others"))
+    return a_seed.withColumn("k", F.lit(1)).join(found.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 # --- capture -------------------------------------------------------------------------
@@ -494,7 +527,7 @@ def params_unpivot(spark, sf):
     return streaming.parameters(events, "event_id", {"user_id": "run", "event_type": "run"})
 
 
-@_query()
+@_query("SELECT * FROM events")
 def stream_result_capture(spark, sf):
     """All events published as a stream and captured to a store; the captured table."""
     at = _shared(spark, "capture")
@@ -507,3 +540,167 @@ def stream_result_capture(spark, sf):
 @_query()
 def synthetic_sparsity(spark, sf):
     return synthetic.wide(spark, 1000, 0.8)
+
+
+@_query("SELECT CAST(1250 AS BIGINT) AS rows, CAST(100 AS BIGINT) AS columns, TRUE AS ordered_grow")
+def synthetic_shape(spark, sf):
+    """Rows, columns and order of the made-up wide table: 1,000 full rows at a sparsity of 0.8."""
+    df = synthetic.wide(spark, 1000, 0.8)
+    return df.agg(F.count("*").alias("rows")).select("rows", F.lit(len([c for c in df.columns if c != "_pos"])).cast("long").alias("columns"), F.lit(True).alias("ordered_grow"))
+
+
+# --- in and out ----------------------------------------------------------------------
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS _pos FROM nation")
+def ingest_arrays(spark, sf):
+    """A table from arrays and lists of values."""
+    rows = _table(spark, sf, "nation").orderBy("n_nationkey").toPandas()
+    return ingest.from_arrays(spark, {"n_nationkey": rows["n_nationkey"].to_numpy(), "n_name": rows["n_name"].tolist(), "n_regionkey": rows["n_regionkey"].to_numpy()})
+
+
+@_query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), 'one'), (1, 2, NULL), (2, NULL, 'three')) AS t(_pos, number, word)")
+def ingest_builder(spark, sf):
+    """A table that grows value by value."""
+    built = ingest.Builder().append("number", 1).append("word", "one").append("number", 2).extend("word", [None, "three"]).append("number", None)
+    return built.build(spark)
+
+
+@_query("SELECT r_regionkey, r_name, octet_length(encode(r_name)) AS bytes FROM region")
+def ingest_streamed_cells(spark, sf):
+    """Values of bytes that come in parts, through a stream each."""
+    built = ingest.Builder()
+    for r in _table(spark, sf, "region").orderBy("r_regionkey").collect():
+        with built.append("r_regionkey", r["r_regionkey"]).cell("name") as stream:
+            for letter in r["r_name"]:
+                stream.write(letter.encode())
+    out = built.build(spark)
+    return out.select(F.col("r_regionkey").cast("int").alias("r_regionkey"), F.col("name").cast("string").alias("r_name"), F.octet_length("name").cast("long").alias("bytes"))
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS INTEGER) AS at, r_name AS value FROM region")
+def inline_values(spark, sf):
+    """Length-prefixed values in one run of bytes, peeked at and read from the last to the first."""
+    names = [r["r_name"].encode() for r in _table(spark, sf, "region").orderBy("r_regionkey").collect()]
+    cursor = container.Cursor(b"".join(len(n).to_bytes(4, "little") + n for n in names))
+    places = cursor.places()
+    found = [(i, cursor.seek(places[i]).peek_blob().decode()) for i in reversed(range(len(places)))]
+    return spark.createDataFrame(found, "at int, value string")
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _pos, o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def container_distributed(spark, sf):
+    """A table written as containers task by task, without the driver, and read back as one."""
+    container.register(spark)
+    path = _shared(spark, "orders-containers")
+    orders = _table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    orders.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.format("container").option("table", "orders").option("rows", 2000).mode("overwrite").save(path)
+    return spark.read.format("container").option("table", "orders").load(path)
+
+
+@_query("SELECT k AS _pos, k, CAST(7 AS BIGINT) AS constant, CAST(k // 250 * 1000003 AS BIGINT) AS steps, CAST(k * 37 % 64 + 1000 AS INTEGER) AS narrow, k * 0.5::DOUBLE AS half, CASE WHEN k < 2600 THEN 'yes' ELSE 'no' END AS word FROM range(5000) t(k)")
+def encoding_replay(spark, sf):
+    """A container whose columns are encoded whole by trees that were chosen from samples, read back."""
+    container.register(spark)
+    path = _shared(spark, "made")
+    container.export({"made": (_made(spark), "k")}, path)
+    return spark.read.format("container").option("table", "made").load(path)
+
+
+# k has 5,000 values below 8,192, constant one run, steps twenty, narrow 64 values, half no encoding.
+@_query(
+    """SELECT * FROM (VALUES ('constant', 'RunLength'), ('half', 'Binary'), ('k', 'BitPacking'), ('narrow', 'BitPacking'), ('steps', 'RunLength'), ('word', 'Split')) AS t("column", encoding)"""
+)
+def encoding_replay_trees(spark, sf):
+    """The outermost encoding of each column of that container."""
+    path = _shared(spark, "made-trees")
+    container.export({"made": (_made(spark), "k")}, path)
+    columns = container.read_file(path).tables["made"][1]
+    return spark.createDataFrame([(n, c.encoding) for n, c in columns.items()], "column string, encoding string")
+
+
+@_query("SELECT * FROM (VALUES ('halved(Binary)', CAST(20000 AS BIGINT))) AS t(tree, bytes)")
+def encoding_custom(spark, sf):
+    """An own encoding, which keeps one of each pair of equal numbers, chosen beside the others."""
+    halved = lambda kind, v: ([(kind, v[::2])], {}) if len(v) % 2 == 0 and (v[::2] == v[1::2]).all() else None
+    values = np.repeat(np.arange(2500, dtype=np.int64) * 2**50 - 2**60, 2)
+    tree = choice.pick("SInt64", values, 1, {"halved": halved})
+    return spark.createDataFrame([(tree.describe(), tree.total())], "tree string, bytes long")
+
+
+@_query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+def convert_to_csv(spark, sf):
+    """A Parquet table converted to a CSV file by the command's function, and that read."""
+    target = _shared(spark, "converted")
+    cli.write_tables({"nation": (_table(spark, sf, "nation"), "n_nationkey")}, f"{target}.csv", "csv")
+    return text.read_csv(spark, f"{target}.csv")
+
+
+def _through(kind: str):
+    def run(spark, sf):
+        target = _shared(spark, f"as-{kind}")
+        wide = _table(spark, sf, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("float"))
+        cli.write_tables({"customer": (wide, "c_custkey")}, f"{target}.{kind}", kind)
+        return spark.read.schema(wide.schema).format(kind).load(f"{target}_customer.{kind}").withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
+
+    return run
+
+
+for _kind in ("parquet", "orc", "json"):
+    QUERIES[f"sink_{_kind}"] = _through(_kind)
+    ORACLE_SQL[f"sink_{_kind}"] = "SELECT c_custkey, c_name, c_nationkey, CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer"
+
+
+@_query("SELECT CAST(o_custkey & 18446744073709551615 AS DECIMAL(20, 0)) AS o_custkey FROM (SELECT CAST(o_custkey AS HUGEINT) AS o_custkey FROM orders)")
+def typed_column(spark, sf):
+    """A stored column opened as a compatible type: signed numbers as unsigned."""
+    kept = store.Store(spark, _shared(spark, "typed"))
+    kept.write("orders", _table(spark, sf, "orders"))
+    return kept.column("orders", "o_custkey", "UInt64")
+
+
+@_query("SELECT * FROM (VALUES ('orders', TRUE, CAST(2 AS BIGINT)), ('none', FALSE, NULL)) AS t(name, there, columns)")
+def store_lookup(spark, sf):
+    """Tables looked up by name, one of them not there."""
+    kept = store.Store(spark, _shared(spark, "looked-up"))
+    kept.write("orders", _table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    rows = [(n, kept.has(n), len(kept.table(n).columns) if kept.has(n) else None) for n in ("orders", "none")]
+    return spark.createDataFrame(rows, "name string, there boolean, columns long")
+
+
+@_query("SELECT 'results' AS name, CAST(count(*) * 2 AS BIGINT) AS rows FROM region UNION ALL SELECT 'results~2', count(*) FROM nation")
+def store_publish(spark, sf):
+    """Results published under one name: equal columns are added to, others get a number."""
+    kept = store.Store(spark, _shared(spark, "published"))
+    for table in ("region", "nation", "region"):
+        kept.publish("results", _table(spark, sf, table))
+    return store.lengths_frame({n: kept.table(n) for n in kept.names()})
+
+
+@_query("SELECT * FROM (VALUES (CAST(8 AS INTEGER), CAST(7 AS INTEGER), 'lengths'), (9, 7, 'bytes')) AS t(id, parent_id, name)")
+def tree_descendants(spark, sf):
+    """All nodes below the date column of orders."""
+    return tree.descendants(tree.tree(spark, {"orders": _table(spark, sf, "orders")}), 7).select("id", "parent_id", "name")
+
+
+@_query(
+    """SELECT * FROM (VALUES (CAST(0 AS INTEGER), CAST(-1 AS INTEGER), 'Table', 'region'), (1, 0, 'Binary', 'r_regionkey'),
+    (5, 0, 'Split', 'other'), (6, 5, 'Binary', 'lengths'), (7, 5, 'Binary', 'bytes')) AS t(id, parent_id, encoding, name)"""
+)
+def tree_swap(spark, sf):
+    """The subtree of region's name taken out for another."""
+    nodes = tree.tree(spark, {"region": _table(spark, sf, "region")})
+    other = spark.createDataFrame([(0, -1, "Split", "String", "other"), (1, 0, "Binary", "SInt32", "lengths"), (2, 0, "Binary", "UInt8", "bytes")], tree.SCHEMA)
+    return tree.swap(nodes, 2, other).select("id", "parent_id", "encoding", "name")
+
+
+@_query(
+    """WITH r AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS i, * FROM region)
+    SELECT CAST(i + 2 AS INTEGER) AS line_no, '| ' || rpad(CAST(r_regionkey AS VARCHAR), 8, ' ') || ' | ' || rpad(CAST(octet_length(encode(r_name)) AS VARCHAR), 8, ' ') || ' |' AS line FROM r"""
+)
+def describe_leaves(spark, sf):
+    """The lines of values of region's physical columns: its keys, and the lengths of its names."""
+    path = _shared(spark, "described")
+    container.export({"region": (_table(spark, sf, "region"), "r_regionkey")}, path, compress=False)
+    lines = describe.leaves_text(container.read_file(path), "region", 5, 8, 24).split("\n")
+    return spark.createDataFrame([(i, x) for i, x in enumerate(lines) if 3 <= i < 8], "line_no int, line string")

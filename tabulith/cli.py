@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import shutil
 import sys
 from dataclasses import replace
 
@@ -84,8 +85,13 @@ def convert(spark: SparkSession, source: str, target: str, from_: str | None = N
         write_tables(tables, target, to or format_of(target), multiple, encodings)
 
 
-def header(file: container.File) -> list[str]:
+#: Widths of the columns of header(): name, encoding, type, id, parent, facts.
+WIDTHS = (10, 11, 7, 3, 8, 50)
+
+
+def header(file: container.File, widths: tuple[int, ...] = WIDTHS) -> list[str]:
     """A line for each table, column and node of a container: encoding, type, id, parent and facts."""
+    n, e, t, i, p, b = widths
     lines = []
 
     def walk(node: container.Part, name: str) -> None:
@@ -99,7 +105,7 @@ def header(file: container.File) -> list[str]:
             while not about.done():
                 names.append(about.string())
             facts = ", ".join(names)
-        lines.append(f"| {name:10} | {node.encoding:11} | {node.logical:7} | {node.id:3} | {node.parent:8} | {facts:50} |")
+        lines.append(f"| {name:{n}} | {node.encoding:{e}} | {node.logical:{t}} | {node.id:{i}} | {node.parent:{p}} | {facts:{b}} |")
         for part in node.parts:
             walk(part, "")
 
@@ -122,23 +128,37 @@ def main(args: list[str] | None = None) -> int:
     c.add_argument("--to", choices=FORMATS)
     c.add_argument("-m", "--multiple", action="store_true")
     c.add_argument("-b", "--bit-packing", action="store_true")
+    c.add_argument("-s", "--split", action="store_true", help="plain columns, text as lengths and bytes, unless other encodings are named too")
     c.add_argument("-r", "--run-length", action="store_true")
+    c.add_argument("-v", "--verbose", action="store_true", help="print what is written")
     d = verbs.add_parser("describe")
     d.add_argument("source")
     d.add_argument("-f", "--file", action="store_true", help="values too")
     d.add_argument("-c", "--rows", type=int, default=15)
     d.add_argument("-d", "--width", type=int, default=12)
+    for short, name, width in zip("netipb", ("name", "encoding", "type", "id", "parent", "facts"), WIDTHS, strict=True):
+        d.add_argument(f"-{short}", f"--{name}-width", type=int, default=width)
+    d.add_argument("-l", "--limit", action="store_true", help="only as many columns as a line of the screen holds")
+    d.add_argument("--no-header", action="store_true")
     found = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     try:
         if found.verb == "convert":
             wanted = [n for n, on in (("BitPacking", found.bit_packing), ("RunLength", found.run_length)) if on]
-            convert(spark, found.source, found.target, found.from_, found.to, found.multiple, {n: choice.ENCODINGS[n] for n in wanted} or None)
+            encodings = {n: choice.ENCODINGS[n] for n in wanted} if wanted or found.split else None
+            convert(spark, found.source, found.target, found.from_, found.to, found.multiple, encodings)
+            if found.verbose:
+                print(f"{found.source} -> {found.target}, encodings: {'all' if encodings is None else ', '.join(['Split', *wanted])}")
             return 0
         kind = source_format(found.source)
         if kind == "container":
-            print("\n".join(header(container.read_file(found.source))))
-        if found.file or kind != "container":
+            file = container.read_file(found.source)
+            if not found.no_header:
+                print("\n".join(header(file, tuple(getattr(found, f"{x}_width") for x in ("name", "encoding", "type", "id", "parent", "facts")))))
+            line = shutil.get_terminal_size().columns if found.limit else None
+            for name in file.tables if found.file else ():
+                print(describe.leaves_text(file, name, found.rows, found.width, line))
+        else:
             for name, (df, order) in read_tables(spark, found.source, kind).items():
                 print(describe.preview_text(df, name, order, found.rows, found.width))
         return 0

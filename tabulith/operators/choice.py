@@ -180,8 +180,17 @@ def leaves(logical: str, values: list) -> list[tuple[str, np.ndarray]]:
     return [*out, (logical, np.array([int(v) if kind != "f" else v for v in values], f"<{kind}{WIDTHS[logical]}"))]
 
 
-def choose(df: DataFrame, column: str, key: str, options: Options = Options(), encodings: dict[str, Encode] | None = None, seed: int = 0) -> list[Node]:
-    """The chosen tree of each leaf of a column, from a sample in the order of key.
+def sample(values: np.ndarray, options: Options = Options()) -> np.ndarray:
+    """The first rows of each of equally many sections of a column, or all of a short one."""
+    length = block_length(len(values), options)
+    if length is None:
+        return values
+    section = len(values) // options.blocks
+    return np.concatenate([values[i * section : i * section + length] for i in range(options.blocks)])
+
+
+def choose(df: DataFrame, column: str, key: str, options: Options = Options(), encodings: dict[str, Encode] | None = None, seed: int | None = 0) -> list[Node]:
+    """The chosen tree of each leaf of a column, from a sample in the order of key (with seed None the first rows of its sections).
 
     The sample has at most blocks * longest rows (or blocks / share, where the whole column
     is taken), which is what reaches the driver.

@@ -2,7 +2,10 @@
 
 A window over all rows in one order would run in one task. Here the key's range is cut
 into chunks of about CHUNK_ROWS rows; rows are numbered, and sums run, in each chunk, and
-what comes before a chunk is added from a table with one row a chunk.
+what comes before a chunk is added from a table with one row a chunk. A row's chunk is
+found by binary search in the cuts, which are at most MOST_CHUNKS. Where only some
+positions are wanted, the chunks' counts tell which range of the key holds them, and the
+filter on it goes to the scan.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a chunk, about; more rows give more chunks.
-CHUNK_ROWS = 1_000_000
+#: Rows of a chunk, about; more rows give more chunks, up to so many, and then larger ones.
+CHUNK_ROWS, MOST_CHUNKS = 1_000_000, 10_000
 POS, CHUNK = "_pos", "_chunk"
 
 
@@ -25,29 +28,68 @@ def _numeric(key: str, df: DataFrame) -> Column:
     return F.datediff(F.col(key), F.lit("1970-01-01")) if kind == "date" else F.col(key)
 
 
-def _search(value: Column, cuts: list, first: int = 0) -> Column:
-    """The number of cuts at or below value, by a tree of comparisons."""
-    if not cuts:
-        return F.lit(first)
-    middle = len(cuts) // 2
-    return F.when(value < F.lit(cuts[middle]), _search(value, cuts[:middle], first)).otherwise(_search(value, cuts[middle + 1 :], first + middle + 1))
+def _search(value: Column, cuts: list[float]) -> Column:
+    """The number of cuts at or below value, by halving; the cuts are one constant array."""
+    if len(cuts) < 16:
+        return F.array_size(F.array_compact(F.array(*[F.when(value >= F.lit(c), 1) for c in cuts]))) if cuts else F.lit(0)
+    all_ = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<bigint>" if all(isinstance(c, int) for c in cuts) else "array<double>")
+    half = lambda x: F.floor((x["a"] + x["z"]) / 2).cast("int")
+    step = lambda x, _: F.when(x["a"] == x["z"], x).when(F.get(all_, half(x)) <= value, F.struct((half(x) + 1).alias("a"), x["z"].alias("z"))).otherwise(F.struct(x["a"].alias("a"), half(x).alias("z")))
+    turns = F.sequence(F.lit(0), F.lit(len(cuts).bit_length()))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("z")), step, lambda x: x["a"])
+
+
+def cuts_of(df: DataFrame, key: str, rows: int | None = None) -> list[float]:
+    """Values of key, as numbers, that cut df into chunks of about `rows` rows; reads the key's column alone."""
+    rows, count = rows or CHUNK_ROWS, df.count()
+    chunks = min(-(-count // rows), MOST_CHUNKS)
+    if chunks <= 1:
+        return []
+    keys = df.select(_numeric(key, df).alias("k"))
+    found = keys.approxQuantile("k", [i / chunks for i in range(1, chunks)], 0.2 / chunks)
+    # whole numbers are compared as such, which the scan can do too
+    return sorted(set(found if dict(keys.dtypes)["k"] in ("float", "double") or dict(keys.dtypes)["k"].startswith("decimal") else map(int, found)))
 
 
-def chunked(df: DataFrame, key: str, rows: int | None = None, dense: bool = False) -> DataFrame:
+def chunked(df: DataFrame, key: str, rows: int | None = None, dense: bool = False, cuts: list[float] | None = None) -> DataFrame:
     """df with `_chunk`, in the order of key (a number, date or timestamp); null keys are in the first.
 
     Of a dense key (a position or a run's number) no more is to be known. For others the
-    rows are counted and quantiles of the key taken, which reads the key's column alone.
+    rows are counted and quantiles of the key taken, if the cuts are not given.
     """
-    rows = rows or CHUNK_ROWS
     if dense:
-        return df.withColumn(CHUNK, F.floor(F.col(key) / rows).cast("int"))
-    chunks = -(-df.count() // rows)
-    if chunks <= 1:
-        return df.withColumn(CHUNK, F.lit(0))
+        return df.withColumn(CHUNK, F.floor(F.col(key) / (rows or CHUNK_ROWS)).cast("int"))
+    cuts = cuts_of(df, key, rows) if cuts is None else cuts
+    return df.withColumn(CHUNK, F.coalesce(_search(_numeric(key, df), cuts), F.lit(0)))
+
+
+def _holding(df: DataFrame, key: str, start: int, end: int | None, rows: int | None) -> tuple[DataFrame, DataFrame | None, int]:
+    """The rows of the chunks that hold positions from start to end, those of all later chunks, and the position of the first.
+
+    One count a chunk reaches the driver; the rows are chosen by ranges of the key. Without
+    an end only the chunk that holds the start is among the first, and later ones need no
+    number; with one there are no later ones.
+    """
+    cuts = cuts_of(df, key, rows)
+    if not cuts:
+        return df, None, 0
+    counts = [0] * (len(cuts) + 1)
+    for r in chunked(df.select(key), key, cuts=cuts).groupBy(CHUNK).count().collect():
+        counts[r[CHUNK]] = r["count"]
+    first = before = 0
+    while first < len(cuts) and before + counts[first] <= start:
+        before += counts[first]
+        first += 1
+    last, until = first, before + counts[first]
+    while end is not None and last < len(cuts) and until < end:
+        last += 1
+        until += counts[last]
     value = _numeric(key, df)
-    cuts = sorted(set(df.select(value.alias("k")).approxQuantile("k", [i / chunks for i in range(1, chunks)], 0.2 / chunks)))
-    return df.withColumn(CHUNK, F.coalesce(_search(value, cuts), F.lit(0)))
+    held = value >= cuts[first - 1] if first else value.isNotNull() | value.isNull()
+    if last < len(cuts):
+        held = (value < cuts[last]) & held if first else (value < cuts[last]) | value.isNull()
+    rest = df.where(value >= cuts[last]) if end is None and last < len(cuts) else None
+    return df.where(held), rest, before
 
 
 def in_chunk(key: str) -> Window:
@@ -91,11 +133,20 @@ def head(df: DataFrame, count: int, key: str = POS) -> DataFrame:
     return df.orderBy(key).limit(count)
 
 
-def skip(df: DataFrame, count: int, key: str) -> DataFrame:
-    """All rows but the first count in the order of key. With `_pos` as key it is a filter."""
+def skip(df: DataFrame, count: int, key: str, rows: int | None = None) -> DataFrame:
+    """All rows but the first count in the order of key. With `_pos` as key it is a filter; else only one chunk is numbered."""
     if key == POS:
         return df.where(F.col(POS) >= count)
-    return with_position(df, key).where(F.col(POS) >= count).drop(POS)
+    held, rest, before = _holding(df, key, count, None, rows)
+    left = with_position(held, key, rows).where(F.col(POS) >= count - before).drop(POS)
+    return left if rest is None else left.unionByName(rest)
+
+
+def slice_of(df: DataFrame, key: str, start: int, count: int, rows: int | None = None) -> DataFrame:
+    """`_pos` and the columns of count rows from position start on; only the chunks that hold them are read and numbered."""
+    held, _, before = _holding(df, key, start, start + count, rows)
+    placed = with_position(held, key, rows).withColumn(POS, F.col(POS) + before)
+    return slice_rows(placed, start, count)
 
 
 def zip_rows(left: DataFrame, right: DataFrame, pad: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabulith.operators import position
 from tabulith.operators.position import CHUNK, chunked, in_chunk
 
 
+#: Rows of a run that become rows at once.
+PIECE_ROWS = 65_536
+
+
 def encode(df: DataFrame, key: str, value: str, rows: int | None = None) -> DataFrame:
     """run (from 1), value, repeats of the adjacent equal values in the order of key.
 
@@ -37,10 +42,18 @@ def bounds(runs: DataFrame) -> DataFrame:
     return running(runs, "run", F.col("repeats"), "start", dense=True).withColumn("end", F.col("start") + F.col("repeats"))
 
 
+def pieces(runs: DataFrame) -> DataFrame:
+    """value, first, last: every run cut into pieces of PIECE_ROWS positions at most; zero repeats give none."""
+    cut = bounds(runs).where("repeats > 0").select("value", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(PIECE_ROWS).cast("long"))).alias("first"))
+    return cut.select("value", "first", (F.least(F.col("first") + PIECE_ROWS, "end") - 1).alias("last"))
+
+
 def decode(runs: DataFrame) -> DataFrame:
-    """_pos, value: every run expanded; zero repeats give no rows."""
-    expanded = bounds(runs).where("repeats > 0")
-    return expanded.select(F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("_pos"), "value")
+    """_pos, value: every run expanded.
+
+    Only a piece of a run becomes rows at once, so one of any length is made row by row.
+    """
+    return pieces(runs).select(F.explode(F.sequence("first", "last")).alias("_pos"), "value")
 
 
 def stats(runs: DataFrame) -> DataFrame:
@@ -48,19 +61,20 @@ def stats(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("runs"), F.coalesce(F.sum("repeats"), F.lit(0)).alias("rows"), F.max("repeats").alias("longest"), F.min("repeats").alias("shortest"))
 
 
-def lookup(runs: DataFrame, positions: DataFrame) -> DataFrame:
+def lookup(runs: DataFrame, positions: DataFrame, rows: int | None = None) -> DataFrame:
     """_pos and value for positions(_pos), without expanding: a position belongs to the last run that starts at or before it."""
-    found = bounds(runs).select(F.col("start").alias("_pos"), "end", "value", F.lit(0).alias("_ask"))
-    asked = positions.select(F.col("_pos").cast("long"), F.lit(None).cast("long").alias("end"), F.lit(None).cast(found.schema["value"].dataType).alias("value"), F.lit(1).alias("_ask"))
-    both = chunked(found.unionByName(asked), "_pos", dense=True)
-    # the last run of each chunk is handed to the chunks after it, one row a chunk
-    last = both.where("_ask = 0").groupBy(CHUNK).agg(F.max_by(F.struct("end", "value"), "_pos").alias("_last"))
-    chunks = both.select(CHUNK).distinct().join(last, CHUNK, "left")
-    carried = chunks.select(CHUNK, F.last("_last", True).over(Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    order = Window.partitionBy(CHUNK).orderBy("_pos", "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.last(F.when(F.col("_ask") == 0, F.struct("end", "value")), True).over(order)
-    out = both.withColumn("_run", here).join(F.broadcast(carried), CHUNK).where("_ask = 1").withColumn("_run", F.coalesce("_run", "_carried"))
-    return out.where("_pos < _run.end").select("_pos", F.col("_run.value").alias("value"))
+    rows = rows or position.CHUNK_ROWS
+    found = bounds(runs).select(F.col("start").alias("_pos"), F.struct("end", "value").alias("run"))
+    # a chunk's last run is carried to the chunks up to the next one with a run: a row a chunk
+    last = chunked(found, "_pos", rows, dense=True).groupBy(CHUNK).agg(F.max_by("run", "_pos").alias("carried"))
+    end = F.floor((F.max("carried.end").over(Window.partitionBy()) - 1) / rows).cast("int")
+    until = F.coalesce(F.lead(CHUNK).over(Window.orderBy(CHUNK)), end)
+    last = last.withColumn("until", until).where(F.col("until") > F.col(CHUNK)).select(F.explode(F.sequence(F.col(CHUNK) + 1, "until")).alias(CHUNK), "carried")
+    asked = positions.select(F.col("_pos").cast("long").alias("_pos"), F.lit(None).cast(found.schema["run"].dataType).alias("run"))
+    both = chunked(found.withColumn("_ask", F.lit(0)).unionByName(asked.withColumn("_ask", F.lit(1))), "_pos", rows, dense=True)
+    here = F.last("run", True).over(Window.partitionBy(CHUNK).orderBy("_pos", "_ask").rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("run", here).where("_ask = 1").join(F.broadcast(last), CHUNK, "left").withColumn("run", F.coalesce("run", "carried"))
+    return out.where("_pos < run.end").select("_pos", F.col("run.value").alias("value"))
 
 
 def total(runs: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabulith.operators.position import CHUNK, before_chunk, chunked, in_chunk, running
+from tabulith.operators.position import CHUNK, before_chunk, running
+
+#: Bytes of a chunk, and bytes that a row counts beside its value.
+CHUNK_BYTES, ROW_BYTES = 8 << 20, 16
 
 
 def lengths(df: DataFrame, value: str, pos: str = "_pos") -> DataFrame:
@@ -19,20 +21,24 @@ def offsets(df: DataFrame, value: str, pos: str = "_pos") -> DataFrame:
     return running(lengths(df, value, pos), "_pos", F.coalesce("length", F.lit(0)), "offset", dense=True)
 
 
-def encode(df: DataFrame, value: str, pos: str = "_pos", rows: int | None = None) -> DataFrame:
+def encode(df: DataFrame, value: str, pos: str = "_pos", chunk_bytes: int | None = None) -> DataFrame:
     """chunk, first_pos, start, starts, lengths, bytes: the values of each chunk of rows end to end.
 
-    A chunk is what one task holds, so no value is ever cut and nothing grows with the
-    table; start is where its bytes stand in the whole, starts and lengths where each
-    value stands in them.
+    A chunk has about chunk_bytes bytes, each row counted with ROW_BYTES more, or one larger
+    value, and is what one task holds; no value is ever cut. start is where its bytes stand
+    in the whole, starts and lengths where each value stands in them. Text is joined as
+    text, and its bytes are those of the joined text.
     """
-    some = df.where(F.col(value).isNotNull()).select(F.col(pos).alias("_pos"), F.col(value).cast("binary").alias("b"))
-    parts = chunked(some, "_pos", rows or 20_000, dense=True).withColumn("n", F.octet_length("b"))
-    before = F.coalesce(F.sum("n").over(in_chunk("_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    packed = parts.withColumn("s", before).groupBy(CHUNK).agg(F.array_sort(F.collect_list(F.struct("_pos", "s", "n", "b"))).alias("all"))
-    packed = packed.select(CHUNK, F.col("all")[0]["_pos"].alias("first_pos"), F.col("all.s").alias("starts"), F.col("all.n").alias("lengths"), F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["b"])), "")).alias("bytes"))
-    starts = before_chunk(packed.select(CHUNK, F.octet_length("bytes").cast("long").alias("n")), "n", "start")
-    return packed.join(F.broadcast(starts), CHUNK).select(F.col(CHUNK).alias("chunk"), "first_pos", "start", "starts", "lengths", "bytes")
+    some = df.where(F.col(value).isNotNull()).select(F.col(pos).alias("_pos"), F.col(value).alias("v")).withColumn("n", F.octet_length("v"))
+    # where a value would stand if each took ROW_BYTES more
+    placed = running(some, "_pos", F.col("n") + ROW_BYTES, "place", dense=True)
+    parts = placed.withColumn(CHUNK, F.floor(F.col("place") / (chunk_bytes or CHUNK_BYTES)).cast("long"))
+    joined = F.expr("listagg(v) WITHIN GROUP (ORDER BY _pos)")
+    packed = parts.groupBy(CHUNK).agg(F.array_sort(F.collect_list(F.struct("_pos", "place", "n"))).alias("all"), F.coalesce(joined.cast("binary"), F.lit(b"")).alias("bytes"))
+    starts = F.transform("all", lambda x, i: (x["place"] - F.col("all")[0]["place"] - i * ROW_BYTES).cast("int"))
+    packed = packed.select(CHUNK, F.col("all")[0]["_pos"].alias("first_pos"), starts.alias("starts"), F.col("all.n").alias("lengths"), "bytes")
+    offsets_ = before_chunk(packed.select(CHUNK, F.octet_length("bytes").cast("long").alias("n")), "n", "start")
+    return packed.join(F.broadcast(offsets_), CHUNK).select(F.col(CHUNK).alias("chunk"), "first_pos", "start", "starts", "lengths", "bytes")
 
 
 def decode(chunks: DataFrame, as_text: bool = True) -> DataFrame:
@@ -46,5 +52,5 @@ def decode(chunks: DataFrame, as_text: bool = True) -> DataFrame:
     return each.select((F.col("first") + F.col("i")).cast("long").alias("value_pos"), (F.col("b").cast("string") if as_text else F.col("b")).alias("value"))
 
 
-def roundtrip(df: DataFrame, value: str, pos: str = "_pos", rows: int | None = None) -> DataFrame:
-    return decode(encode(df, value, pos, rows))
+def roundtrip(df: DataFrame, value: str, pos: str = "_pos", chunk_bytes: int | None = None) -> DataFrame:
+    return decode(encode(df, value, pos, chunk_bytes))

@@ -89,4 +89,21 @@ def replace(nodes: DataFrame, node: int, encoding: str) -> DataFrame:
     return nodes.withColumn("encoding", F.when(F.col("id") == node, encoding).otherwise(F.col("encoding")))
 
 
-__all__ = ["ENCODING_TAGS", "SCHEMA", "TAGS", "children", "column_nodes", "depths", "descendants", "number", "replace", "tree"]
+def swap(nodes: DataFrame, root: int, other: DataFrame) -> DataFrame:
+    """The tree with the subtree at root taken out and other put in its place, under the same parent.
+
+    other is a tree of its own (its root has parent -1); its nodes are numbered on from the
+    largest id of nodes. Where root is itself a table's node, other becomes that table.
+    """
+    from pyspark.sql import functions as F
+
+    facts = nodes.agg(F.max("id").alias("last"), F.max(F.when(F.col("id") == root, F.col("parent_id"))).alias("parent")).first()
+    if facts["parent"] is None:
+        raise ValueError(f"there is no node {root}")
+    gone = descendants(nodes, root).select("id").unionByName(nodes.where(F.col("id") == root).select("id"))
+    left = nodes.join(gone, "id", "left_anti")
+    parent = F.when(F.col("parent_id") == -1, F.lit(facts["parent"])).otherwise(F.col("parent_id") + facts["last"] + 1)
+    return left.select(nodes.columns).unionByName(other.select((F.col("id") + facts["last"] + 1).cast("int").alias("id"), parent.cast("int").alias("parent_id"), "encoding", "logical", "name"))
+
+
+__all__ = ["ENCODING_TAGS", "SCHEMA", "TAGS", "children", "column_nodes", "depths", "descendants", "number", "replace", "swap", "tree"]

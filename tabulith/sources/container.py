@@ -16,9 +16,10 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tabulith.functions import types as logical
 from tabulith.operators import choice, nulls
@@ -28,6 +29,8 @@ from tabulith.plans.tree import ENCODING_TAGS
 # The magic number, and the numbers before the closing one.
 MAGIC = b"OTAPR\x01\x00\x00"
 POSTSCRIPT = struct.Struct("<qqq")
+#: Rows of a file that a task writes and of a batch that it reads, at most; the list of a folder's files.
+FILE_ROWS, BATCH_ROWS, LIST = 1_000_000, 65_536, "_files"
 ENCODING_NAMES = {tag: name for name, tag in ENCODING_TAGS.items()}
 
 
@@ -76,6 +79,33 @@ class Cursor:
     def skip(self, units: int, size: int) -> None:
         self._next(units * size)
 
+    def skip_blobs(self, count: int) -> None:
+        """Pass over so many length-prefixed values."""
+        for _ in range(count):
+            self._next(self.number("i"))
+
+    def peek_blob(self, ahead: int = 0) -> bytes:
+        """The length-prefixed value that stands so many values on; the cursor stays."""
+        at = self.at
+        try:
+            self.skip_blobs(ahead)
+            return self.blob()
+        finally:
+            self.at = at
+
+    def places(self) -> list[int]:
+        """Where each of the length-prefixed values from here to the end starts: what seek() takes for random access."""
+        at, found = self.at, []
+        while not self.done():
+            found.append(self.at)
+            self.skip_blobs(1)
+        self.at = at
+        return found
+
+    def seek(self, place: int) -> Cursor:
+        self.at = place
+        return self
+
     def done(self) -> bool:
         return self.at >= len(self.data)
 
@@ -152,6 +182,11 @@ class File:
         raise ContainerError(f"a {node.encoding} node is no column")
 
 
+    def leaves(self, node: Part) -> list[Part]:
+        """The nodes below a node, or the node itself, that hold bytes of the file, in order of their ids."""
+        return [node] if node.encoding == "Binary" else [x for p in node.parts for x in self.leaves(p)]
+
+
 def read_file(path: str, filesystem: pyarrow.fs.FileSystem | None = None) -> File:
     if filesystem is None:
         filesystem, path = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
@@ -186,18 +221,25 @@ def _plain(kind: str, values: list, name: str) -> tuple:
     return ("Binary", kind, len(values), np.array(values, _dtype(kind)), {})
 
 
-def _compress(node: tuple, encodings: dict[str, choice.Encode] | None, levels: int) -> tuple:
+def _compress(node: tuple, encodings: dict[str, choice.Encode] | None, options: choice.Options) -> tuple:
+    """A plain column as the tree that a sample of each of its leaves asks for."""
     encoding, kind, rows, inner, about = node
     if encoding != "Binary":
-        return encoding, kind, rows, [_compress(p, encodings, levels) for p in inner], about
+        return encoding, kind, rows, [_compress(p, encodings, options) for p in inner], about
+    return replay(kind, inner, choice.pick(kind, choice.sample(inner, options), options.levels, encodings), encodings)
 
-    def build(kind: str, values: np.ndarray, chosen: choice.Node) -> tuple:
-        if chosen.encoding == "Binary":
-            return ("Binary", kind, len(values), values, {})
-        parts, facts = (choice.ENCODINGS | (encodings or {}))[chosen.encoding](kind, values)
-        return (chosen.encoding, kind, len(values), [build(t, v, c) for (t, v), c in zip(parts, chosen.parts, strict=True)], facts)
 
-    return build(kind, inner, choice.pick(kind, inner, levels, encodings))
+def replay(kind: str, values: np.ndarray, tree: choice.Node, encodings: dict[str, choice.Encode] | None = None) -> tuple:
+    """All values of a column encoded as a tree that was chosen for some of them.
+
+    Where an encoding doesn't fit the whole column, as when a prefix that the sample shares
+    is not shared by all, the column stays plain there.
+    """
+    made = None if tree.encoding == "Binary" else (choice.ENCODINGS | (encodings or {}))[tree.encoding](kind, values)
+    if made is None:
+        return ("Binary", kind, len(values), values, {})
+    parts, facts = made
+    return (tree.encoding, kind, len(values), [replay(t, v, c, encodings) for (t, v), c in zip(parts, tree.parts, strict=True)], facts)
 
 
 def _write_node(out: _Out, node: tuple, parent: int, names: bytes | None = None) -> None:
@@ -214,8 +256,11 @@ def _write_node(out: _Out, node: tuple, parent: int, names: bytes | None = None)
     out.rows.append((mine, parent, ENCODING_TAGS[encoding], logical.TAGS[kind], rows, blob))
 
 
-def write_file(path: str, tables: dict[str, list[tuple[str, str, list]]], compress: bool = True, encodings: dict[str, choice.Encode] | None = None, levels: int = 2) -> None:
-    """Write tables of (name, logical type, values) columns; the file appears under its name when it is whole."""
+def write_file(path: str, tables: dict[str, list[tuple[str, str, list]]], compress: bool = True, encodings: dict[str, choice.Encode] | None = None, options: choice.Options = choice.Options()) -> None:
+    """Write tables of (name, logical type, values) columns; the file appears under its name when it is whole.
+
+    With compress each leaf column has the tree that options' sample of it asks for.
+    """
     files, place = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
     text = lambda s: struct.pack("<i", len(s.encode())) + s.encode()
     with files.open_output_stream(place + ".part") as sink:
@@ -224,7 +269,7 @@ def write_file(path: str, tables: dict[str, list[tuple[str, str, list]]], compre
             if len({c for c, _, _ in columns}) < len(columns):
                 raise ContainerError(f"{table}: a column's name is there twice")
             plain = [_plain(kind, values, name) for name, kind, values in columns]
-            parts = [_compress(p, encodings, levels) for p in plain] if compress else plain
+            parts = [_compress(p, encodings, options) for p in plain] if compress else plain
             _write_node(out, ("Table", "UInt8", parts[0][2] if parts else 0, parts, {}), -1, text(table) + b"".join(text(c) for c, _, _ in columns))
         start = out.at
         for i, form in enumerate(("<i4", "<i4", "u1", "u1", "<i4")):
@@ -238,8 +283,8 @@ def export(tables: dict[str, tuple[DataFrame, str]], path: str, **options) -> No
     """Write DataFrames, each with the column that orders it, to one container; `_pos` itself is not written.
 
     The format is one file whose columns are each one run of bytes, so all rows come to the
-    driver: it is for results of a size that one machine holds, and larger ones stay in a
-    store. Types that the format lacks are written as text.
+    driver: it is for results of a size that one machine holds; larger ones are written by
+    the data source, a file a task, or stay in a store. Types that the format lacks are written as text.
     """
     out = {}
     for name, (df, order) in tables.items():
@@ -262,14 +307,15 @@ def _spark_schema(file: File, table: str) -> T.StructType:
 @dataclass
 class OneFile(InputPartition):
     path: str
+    first: int = 0
 
 
 class ContainerReader(DataSourceReader):
-    def __init__(self, paths: list[str], table: str, schema: T.StructType):
-        self.paths, self.table, self.wanted = paths, table, schema
+    def __init__(self, files: list[OneFile], table: str, schema: T.StructType):
+        self.files, self.table, self.wanted = files, table, schema
 
     def partitions(self) -> list[InputPartition]:
-        return [OneFile(p) for p in self.paths]
+        return list(self.files)
 
     def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
         """Only the columns of the wanted schema are read; a shorter one is filled up with nulls."""
@@ -282,7 +328,10 @@ class ContainerReader(DataSourceReader):
         arrays = []
         for f in self.wanted:
             kind = to_arrow_type(f.dataType)
-            values = range(rows) if f.name == "_pos" else found[f.name]
+            values = range(partition.first, partition.first + rows) if f.name == "_pos" else found[f.name]
+            if isinstance(values, np.ndarray) and len(values) == rows and values.dtype == np.dtype(kind.to_pandas_dtype()):
+                arrays.append(pa.array(values))  # numbers go to Arrow as they are
+                continue
             values = list(values if isinstance(values, (list, range)) else values.tolist())
             values += [None] * (rows - len(values))
             if isinstance(f.dataType, T.StringType):
@@ -291,27 +340,114 @@ class ContainerReader(DataSourceReader):
                 arrays.append(pa.array([None if v is None else Decimal(v) for v in values], kind))
             else:
                 arrays.append(pa.array(values, kind))
-        yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in self.wanted])
+        whole = pa.RecordBatch.from_arrays(arrays, names=[f.name for f in self.wanted])
+        for at in range(0, max(rows, 1), BATCH_ROWS):
+            yield whole.slice(at, BATCH_ROWS)
+
+
+@dataclass
+class Files(WriterCommitMessage):
+    """Files that a task wrote, with their rows, and the task's number."""
+
+    task: int
+    files: list[tuple[str, int]]
+
+
+class ContainerWriter(DataSourceWriter):
+    """Each task writes its rows as containers of at most `rows` rows; the folder's list names those that count.
+
+    So no row goes through the driver, and files of tasks that ran twice are not read.
+    """
+
+    def __init__(self, path: str, table: str, schema: T.StructType, rows: int, overwrite: bool):
+        self.path, self.table, self.fields, self.rows, self.overwrite = path.rstrip("/"), table, [f for f in schema if f.name != POS], rows, overwrite
+        self.at = [i for i, f in enumerate(schema) if f.name != POS]
+
+    def write(self, iterator: Iterator) -> Files:
+        task, made, held = TaskContext.get(), [], []
+        files, folder = _open(self.path)
+        files.create_dir(folder, recursive=True)
+
+        def close() -> None:
+            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(made):04d}.container"
+            columns = [(f.name, logical.logical_type(f), [v if v is None or isinstance(v, (int, float, str, bytes, bytearray)) and not isinstance(v, bool) else str(v) for v in values]) for f, values in zip(self.fields, zip(*held, strict=True), strict=True)]
+            write_file(f"{self.path}/{name}", {self.table: columns})
+            made.append((name, len(held)))
+            held.clear()
+
+        for row in iterator:
+            held.append([row[i] for i in self.at])
+            if len(held) == self.rows:
+                close()
+        if held:
+            close()
+        elif task.partitionId() == 0 and not made:  # a table without rows still has its columns
+            made.append((f"part-00000-{task.taskAttemptId()}-none.container", 0))
+            write_file(f"{self.path}/{made[0][0]}", {self.table: [(f.name, logical.logical_type(f), []) for f in self.fields]})
+        return Files(task.partitionId(), made)
+
+    def commit(self, messages: list[Files]) -> None:
+        files, folder = _open(self.path)
+        known = [] if self.overwrite else _listed(files, folder)
+        known += [x for m in sorted((m for m in messages if m is not None), key=lambda m: m.task) for x in m.files]
+        with files.open_output_stream(f"{folder}/{LIST}.part") as out:
+            out.write("".join(f"{rows} {name}\n" for name, rows in known).encode())
+        files.move(f"{folder}/{LIST}.part", f"{folder}/{LIST}")
+
+    def abort(self, messages: list[Files]) -> None:
+        files, folder = _open(self.path)
+        for name, _ in (x for m in messages if m is not None for x in m.files):
+            files.delete_file(f"{folder}/{name}")
+
+
+def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+
+
+def _listed(files: pyarrow.fs.FileSystem, folder: str) -> list[tuple[str, int]]:
+    """(file, rows) of a folder's list; none where there is no folder."""
+    if files.get_file_info(f"{folder}/{LIST}").type == pyarrow.fs.FileType.NotFound:
+        return []
+    with files.open_input_stream(f"{folder}/{LIST}") as source:
+        return [(name, int(rows)) for rows, _, name in (x.partition(" ") for x in source.read().decode().splitlines())]
 
 
 class ContainerSource(DataSource):
     """spark.read.format("container").option("table", name).load(path): rows with `_pos`.
 
-    A schema with fewer columns reads only those.
+    A schema with fewer columns reads only those. A path is a file or a folder that was
+    written by df.write.format("container").option("table", name).save(folder), whose files
+    have `rows` rows at most; mode append adds files. Several files given by name, with
+    commas between, each count from 0.
     """
 
     @classmethod
     def name(cls) -> str:
         return "container"
 
-    def _paths(self) -> list[str]:
-        return [p for p in self.options["path"].split(",") if p]
+    def _files(self) -> list[OneFile]:
+        found: list[OneFile] = []
+        for path in (p for p in self.options["path"].split(",") if p):
+            files, folder = _open(path)
+            if files.get_file_info(folder).type != pyarrow.fs.FileType.Directory:
+                found.append(OneFile(path))
+                continue
+            first = 0
+            for name, rows in _listed(files, folder):
+                found.append(OneFile(f"{path.rstrip('/')}/{name}", first))
+                first += rows
+        if not found:
+            raise ContainerError(f"{self.options['path']} holds no container")
+        return found
 
     def schema(self) -> T.StructType:
-        return _spark_schema(read_file(self._paths()[0]), self.options["table"])
+        return _spark_schema(read_file(self._files()[0].path), self.options["table"])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return ContainerReader(self._paths(), self.options["table"], schema)
+        return ContainerReader(self._files(), self.options["table"], schema)
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        return ContainerWriter(self.options["path"], self.options["table"], schema, int(self.options.get("rows", FILE_ROWS)), overwrite)
 
 
 def register(spark: SparkSession) -> None:

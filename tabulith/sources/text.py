@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 from tabulith.operators.position import POS
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header; every column is text and a short row has empty text in the columns it lacks."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str, lines_in_cells: bool = True) -> DataFrame:
+    """A CSV file with a header; every column is text and a short row has empty text in the columns it lacks.
+
+    Cells may hold line ends in quotes, and then a file is read by one task; without
+    lines_in_cells large files are split.
+    """
+    df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", lines_in_cells).csv(path)
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 

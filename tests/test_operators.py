@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -69,6 +70,46 @@ def test_positions_over_many_chunks(spark):
     assert position.pick_random(df, 1).count() == 1
 
 
+def test_only_the_chunk_that_is_wanted_is_read(spark, tmp_path, capsys):
+    """Slices and skips by chunk counts equal those by numbering, also with null keys, and filter the scan by the key."""
+    path = f"file://{tmp_path}/t"
+    spark.range(0, 3000, 3).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.col("id").alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    for start, count in ((0, 3), (85, 20), (500, 1), (990, 50), (2000, 5)):
+        found = position.slice_of(df, "k", start, count, 90).orderBy("_pos").collect()
+        assert [(r["_pos"], r["v"]) for r in found] == [(i, 3 * i) for i in range(start, min(start + count, 1000))]
+        assert sorted(r["v"] for r in position.skip(df, start, "k", 90).collect()) == [3 * i for i in range(start, 1000)]
+    position.slice_of(df, "k", 500, 1, 90).explain()
+    plan = capsys.readouterr().out
+    assert re.search(r"PushedFilters: \[[^]]*LessThan\(k,\d+\)", plan) and re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(k,\d+\)", plan)
+
+
+def test_many_cuts(spark):
+    values_ = [-5.0, 0.0, 0.5, 1.0, 17.0, 18.9, 399.0, 400.0]
+    df = spark.createDataFrame([(v,) for v in values_], "v double")
+    for cuts in ([], [0.0, 1.0], [float(i) for i in range(400)], list(range(400))):
+        found = [r["n"] for r in df.select("v", position._search(F.col("v"), cuts).alias("n")).orderBy("v").collect()]
+        assert found == [sum(c <= v for c in cuts) for v in values_]
+
+
+def test_a_very_long_run_is_made_piece_by_piece(spark):
+    long = spark.createDataFrame([(1, "a", 2**31 + 5), (2, "b", 2)], "run long, value string, repeats long")
+    cut = runs.pieces(long).selectExpr("last - first + 1 AS n", "last").agg(F.sum("n"), F.max("n"), F.max("last")).first()
+    assert cut[:] == (2**31 + 7, runs.PIECE_ROWS, 2**31 + 6)
+    pieces = runs.decode(spark.createDataFrame([(1, "a", 200_000), (2, "b", 1)], "run long, value string, repeats long"))
+    assert pieces.agg(F.count("*"), F.max("_pos"), F.count_distinct("_pos")).first()[:] == (200_001, 200_000, 200_001)
+
+
+def test_split_chunks_are_bounded_in_bytes(spark):
+    vector = ["x" * n for n in (0, 30, 200, 0, 5, 5, 90, 1)] * 6
+    df = column(spark, vector, "string").withColumnRenamed("k", "_pos")
+    chunks = split.encode(df, "v", chunk_bytes=100).collect()
+    assert len(chunks) > 5 and all(sum(r["lengths"][:-1]) + 16 * (len(r["lengths"]) - 1) <= 100 for r in chunks)
+    assert values(split.roundtrip(df, "v", chunk_bytes=100), "value_pos") == vector
+    raw = df.select("_pos", F.unhex(F.lit("ff00")).alias("v"))
+    assert {bytes(r["value"]) for r in split.decode(split.encode(raw, "v"), as_text=False).collect()} == {b"\xff\x00"}
+
+
 def test_positions_by_time(spark):
     df = spark.sql("SELECT timestampadd(SECOND, -id, timestamp'2020-01-01') AS t, id FROM range(50)")
     assert [r["id"] for r in position.with_position(df, "t", 8).orderBy("_pos").collect()] == list(range(49, -1, -1))
@@ -124,7 +165,7 @@ def test_nulls_round_trip(spark, n, null):
 @pytest.mark.parametrize("vector", [["Hello world", "testing1234"], ["æ", "", "😀x", "long" * 500], ["", ""], []])
 def test_split_round_trip(spark, vector):
     df = column(spark, vector, "string").withColumnRenamed("k", "_pos")
-    assert values(split.roundtrip(df, "v", rows=2), "value_pos") == vector
+    assert values(split.roundtrip(df, "v", chunk_bytes=40), "value_pos") == vector
     sizes = [len(v.encode()) for v in vector]
     found = split.offsets(df, "v").orderBy("_pos").collect()
     assert [(r["length"], r["offset"]) for r in found] == list(zip(sizes, itertools.accumulate(sizes, initial=0), strict=False))
