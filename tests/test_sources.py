@@ -164,7 +164,13 @@ def test_convert_and_describe(tmp_path, spark, capsys):
     assert store.Store(spark, at("keep")).table("y_CSVTable").count() == 50
     assert cli.main(["describe", at("x.Container"), "-f"]) == 0
     shown = capsys.readouterr().out
-    assert "CSVTable" in shown and "[ln: 50]" in shown and "Split" in shown
+    assert "CSVTable" in shown and "[ln: " in shown and "Split" in shown
+    assert cli.main(["convert", at("in.csv"), at("plain.container"), "-s", "-v"]) == 0
+    assert cli.main(["describe", at("plain.container"), "-f", "-c", "2", "-n", "6"]) == 0
+    shown = capsys.readouterr().out
+    # each column is lengths and bytes: 10 + 2 * 40 digits, and 2 * 50 letters
+    assert shown.count("[ln: 50]") == 2 and "[ln: 90]" in shown and "[ln: 100]" in shown and "encodings: Split" in shown and "BitPacking" not in shown
+    assert cli.main(["describe", at("plain.container"), "--no-header", "-f", "-l"]) == 0
     assert cli.main(["convert", at("in.csv"), at("x.what")]) == 1
     (tmp_path / "bad.container").write_bytes(b"no")
     assert cli.main(["describe", at("bad.container")]) == 1
@@ -221,3 +227,45 @@ def test_ingest_texts(spark):
         ingest.from_arrays(spark, {"x": [object()]})
     with pytest.raises(TypeError):
         ingest.from_arrays(spark, {"x": [True]})
+
+
+def test_builder_keeps_to_a_type(spark):
+    built = ingest.Builder({"a": "SInt16"}).extend("a", [1, None, 3]).append("b", "x")
+    df = built.build(spark)
+    assert dict(df.dtypes) == {"_pos": "bigint", "a": "smallint", "b": "string"} and df.count() == 3
+    with pytest.raises(TypeError):
+        built.append("b", 5)
+    with built.cell("c") as stream:
+        stream.write(b"ab")
+        stream.write(b"c")
+    assert [r["c"] for r in built.build(spark).orderBy("_pos").collect()] == [bytearray(b"abc"), None, None]
+
+
+def test_inline_values():
+    cursor = container.Cursor(b"".join(len(x).to_bytes(4, "little") + x for x in (b"a", b"", b"ccc")))
+    assert (cursor.peek_blob(), cursor.peek_blob(2), cursor.at) == (b"a", b"ccc", 0)
+    assert [cursor.seek(p).blob() for p in reversed(cursor.places())] == [b"ccc", b"", b"a"]
+    with pytest.raises(container.ContainerError):
+        cursor.seek(0).skip_blobs(4)
+
+
+def test_containers_by_task(spark, tmp_path):
+    container.register(spark)
+    path = f"file://{tmp_path}/c"
+    df = spark.range(0, 100, 1, 3).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('w', id) END AS word", "id / 4 AS part", "id > 50 AS flag")
+    write = lambda x, mode: x.write.format("container").option("table", "t").option("rows", 20).mode(mode).save(path)
+    write(df, "overwrite")
+    found = spark.read.format("container").option("table", "t").load(path).orderBy("_pos").collect()
+    assert [r["_pos"] for r in found] == list(range(100)) and [(r["id"], r["word"], r["part"]) for r in found] == [(i, None if i % 3 == 0 else f"w{i}", i / 4) for i in range(100)]
+    write(df.limit(5), "append")
+    assert spark.read.format("container").option("table", "t").load(path).count() == 105
+    write(df.limit(0), "overwrite")
+    left = spark.read.format("container").option("table", "t").load(path)
+    assert left.count() == 0 and left.columns == ["_pos", "id", "word", "part", "flag"]
+
+
+def test_swapped_subtrees(spark):
+    nodes = tree.tree(spark, {"t": spark.createDataFrame([], "a int, b string")})
+    with pytest.raises(ValueError):
+        tree.swap(nodes, 99, nodes)
+    assert tree.swap(nodes, 0, nodes).where("parent_id = -1").count() == 1
