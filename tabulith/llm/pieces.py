@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model file is compiled to three machines. The normaliser writes spaces as U+2581 and
-puts one in front. The lexicon reads characters and writes piece ids; a character that
+A model file is compiled to three machines. The normaliser reads characters, writes for
+the longest run of them that its map has what the map says, and spaces as U+2581, puts one
+in front and, where the model asks for it, leaves out spaces at the ends and after spaces. The lexicon reads characters and writes piece ids; a character that
 no piece has is written as the ids of its bytes. The acceptor reads piece ids: for a
 unigram model it has one state and a piece's weight is its negative score; for a BPE
 model its states are the pieces, and the arc from one to the next has weight 0 if merging
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tabulith.llm.common import FORGET, documents, picked, use_worker
 from tabulith.llm.tokenizing import MEMO_ENTRIES, Encoder, slices
 
-SPACE = "▁"
+SPACE, SPACES = "▁", re.compile(" {2,}")
 RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: What a unigram model adds to its lowest score for a character that no piece has.
 UNKNOWN_PENALTY = 10.0
@@ -37,6 +38,64 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 
 
+class Normaliser:
+    """normalise(text) is the text as the lexicon reads it; plain where it only writes spaces as U+2581 and puts one in front."""
+
+    def __init__(self, spec):
+        self.prefix, self.squeeze = SPACE if spec.add_dummy_prefix else "", spec.remove_extra_whitespaces
+        self.map = charsmap(spec.precompiled_charsmap) if spec.precompiled_charsmap else {}
+        self.longest: dict[str, int] = {}  # of the map's entries that start with a character
+        for key in self.map:
+            self.longest[key[0]] = max(self.longest.get(key[0], 0), len(key))
+        self.plain = not self.map and not self.squeeze
+
+    def _arcs(self, text: str) -> Iterator[str]:
+        """What is written along the only path, the longest entry at each place."""
+        i = 0
+        while i < len(text):
+            for n in range(min(self.longest.get(text[i], 0), len(text) - i), 0, -1):
+                if (found := self.map.get(text[i : i + n])) is not None:
+                    yield found
+                    i += n
+                    break
+            else:
+                yield text[i]
+                i += 1
+
+    def normalise(self, text: str) -> str:
+        out = "".join(self._arcs(text)) if self.map else text
+        if self.squeeze:
+            out = SPACES.sub(" ", out).strip(" ")
+            return (self.prefix + out).replace(" ", SPACE).rstrip(SPACE) if out else ""
+        return (self.prefix + out).replace(" ", SPACE) if text else ""
+
+
+def charsmap(blob: bytes) -> dict[str, str]:
+    """The entries of a precompiled map: a size, a double-array trie of so many bytes, and what its values point to.
+
+    A unit of the trie has its label in the lowest 8 bits, a mark for a value in the next, and
+    the distance to its children in the upper 22, times 256 where bit 9 is set; a value has bit 31 set.
+    """
+    size = struct.unpack_from("<I", blob)[0]
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    bytes_, found = np.arange(256), {}
+    distance = lambda unit: unit >> 10 << ((unit & 1 << 9) >> 6)
+    waiting = [(b"", distance(int(units[0])))]
+    while waiting:
+        key, base = waiting.pop()
+        at = base ^ bytes_
+        inside = at < len(units)
+        labels = np.where(inside, units[np.where(inside, at, 0)] & (1 << 31 | 0xFF), -1)
+        for byte in bytes_[(labels == bytes_) & (bytes_ > 0)].tolist():
+            unit = int(units[base ^ byte])
+            below = base ^ byte ^ distance(unit)
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                found[(key + bytes([byte])).decode("utf-8", "surrogateescape")] = texts[start : texts.index(b"\0", start)].decode()
+            waiting.append((key + bytes([byte]), below))
+    return found
+
+
 class Transducer:
     """path(run) is the shortest path through lexicon and acceptor for a normalised run of characters."""
 
@@ -48,9 +107,10 @@ class Transducer:
         self.kind, norm = proto.trainer_spec.model_type, proto.normalizer_spec
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models can be compiled")
-        if norm.precompiled_charsmap or not norm.escape_whitespaces or norm.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only normalisers that leave characters as they are can be compiled")
-        self.prefix = SPACE if norm.add_dummy_prefix else ""
+        if not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only normalisers that write spaces as U+2581, before words, can be compiled")
+        self.normaliser = Normaliser(norm)
+        self.prefix = self.normaliser.prefix
         self.pieces = [p.piece for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]
         self.score = [p.score for p in proto.pieces]
@@ -196,6 +256,18 @@ class PieceEncoder(Encoder):
         self.keeps_blanks, self.memo_entries, self.memo, self.special = True, memo_entries, {}, []
         self.feed = self._run("\n")
 
+    def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if self.machine.normaliser.plain:
+            return super().encode(texts, end_id)
+        if len(self.memo) > self.memo_entries:
+            self.memo.clear()
+        end, out = b"" if end_id is None else struct.pack("<I", end_id), []
+        for text in texts.to_pylist():
+            found = RUNS.findall(self.machine.normaliser.normalise(text or ""))
+            self.memo.update([(x, self._run(x)) for x in set(found).difference(self.memo)])
+            out.append(b"".join([self.memo[x] for x in found]) + end)
+        return np.frombuffer(b"".join(out), "<u4"), np.cumsum([len(x) // 4 for x in out]).astype(np.int64)
+
     def _run(self, run: str) -> bytes:
         return struct.pack(f"<{len(ids := self.machine.path(run))}I", *ids)
 

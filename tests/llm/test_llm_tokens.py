@@ -203,6 +203,26 @@ def test_unigram_models(tmp_path):
     assert split(enc.encode(pa.array(texts, pa.string()), None)) == sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "nfkc", "identity"])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_normalisers(tmp_path, rule, squeeze):
+    """Compiled normalisers, and ids after them, are the library's."""
+    made = sentencepiece_model_pb2.ModelProto()
+    made.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(PIECE, "rb") as file:
+        model.ParseFromString(file.read())
+    model.normalizer_spec.precompiled_charsmap = made.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = str(tmp_path / "n.model")
+    with open(path, "wb") as file:
+        file.write(model.SerializeToString())
+    rng, odd = random.Random(5), ["ＫＡ", "ﬁ", "Ⅷ", "が", "\u304b\u3099", "\u200b", "\u3000", "İ", "ß", "ẛ̣", "…", "\t", "\r", "\n", "\x7f", "½", "한"]
+    texts = [x for x in ODD if x] + ["".join(rng.choice(ATOMS + odd) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    enc, library = pieces.PieceEncoder(path, 300), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert split(enc.encode(pa.array([*texts, None], pa.string()), None)) == library.encode([*texts, ""])
+
+
 def test_encoded_and_decoded(spark):
     df = odd_docs(spark)
     ids = pieces.encoded(df, PIECE)
