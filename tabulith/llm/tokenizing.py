@@ -41,9 +41,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # texts with the string of a special token go to the plain one
-        self.special = [x.content for x in self.plain.get_added_tokens_decoder().values()]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # but for texts with the string of a special token
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_blanks, self.memo_entries = keeps_blanks, memo_entries
         self.memo: dict[str, bytes] = {}
         self.between = "\n" if keeps_blanks else " ~ "
@@ -124,8 +124,11 @@ class Encoder:
             return self._encode_texts(texts, end_id)
         ids, ends = self._encode_texts(pc.if_else(pa.array(special), "", texts), end_id)
         parts = np.split(ids, ends[:-1])
+        self.tokenizer.encode_special_tokens = False
         for i in np.flatnonzero(special).tolist():
-            parts[i] = np.concatenate([np.array(self.plain.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4"), parts[i]])
+            (own,) = self._plain([texts[i].as_py()])
+            parts[i] = np.concatenate([np.frombuffer(own, "<u4"), parts[i]])
+        self.tokenizer.encode_special_tokens = True
         return np.concatenate(parts), np.cumsum([len(x) for x in parts])
 
     def _encode_texts(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
