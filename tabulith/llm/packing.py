@@ -179,7 +179,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 409
 
         for batch in batches:
             doc_ids, row = batch.column(0).to_pylist(), 0
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), 4 << 20):
                 out = []
                 ids, ends = enc.encode(texts, end_id)
                 raw, begin = ids.tobytes(), 0
