@@ -63,9 +63,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         .sortWithinPartitions("doc_id", "hash", "text")
         .select("doc_id", "text")
     )
+    # numbers without a dictionary are delta-packed in version 2 pages
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "start_in_part", "n_tokens")}
     (
         ordered.mapInArrow(encode, SCHEMA)
-        .write.option("compression", "zstd")
+        .write.options(**plain)
+        .option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")
         .option("parquet.block.size", str(ROW_GROUP))

@@ -76,6 +76,31 @@ def test_quality_over_a_table(spark):
             assert tuple(r[c] for c in quality.COUNTS) == counted(docs[r["doc_id"]])
 
 
+def test_scores_are_those_of_the_trees():
+    """Flat arrays scored at once give what a walk from node to node gives."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 4))
+    forest = boosting.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), [0, 0, 1, -1], trees=12)
+
+    def walk(row):
+        total = forest.base
+        for node in forest.roots.tolist():
+            while np.isfinite(forest.cut[node]):
+                node = int(forest.left[node]) + (row[forest.feature[node]] > forest.cut[node])
+            total += forest.value[node]
+        return total
+
+    assert len(forest.roots) and forest.raw(x).tolist() == pytest.approx([walk(r) for r in x])
+
+
+def test_quality_of_labels_not_fitted_on(spark):
+    docs, labels = spark.read.parquet(f"{SF1}/documents.parquet"), spark.read.parquet(f"{SF1}/labels.parquet")
+    model = quality.fit_model(docs, labels.where("doc_id % 2 = 0"))
+    left = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 2 = 1").collect()}
+    right = [r["kept"] == bool(left[r["doc_id"]]) for r in quality.scored(docs, model).collect() if r["doc_id"] in left and not r["base_failed"]]
+    assert len(right) > 500 and np.mean(right) > 0.95
+
+
 def odd_rows(spark):
     rows = [(1, None, "a", 1.0), (2, "", "b", 2.0), (None, "some words are here to be read by all who can read", "c", 3.0), (4, "w " * 30000, None, 4.0), (4, "twice", "e", 5.0), (4, "twice", "e", 5.0), (7, "one two three four five six seven eight nine ten eleven", "f", None)]
     return spark.createDataFrame(rows, "doc_id long, text string, kept string, score double")

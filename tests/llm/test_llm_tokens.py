@@ -86,7 +86,35 @@ def test_token_files(spark, tmp_path):
     assert "ids" not in token_files.token_lengths(spark, path).columns
     assert token_files.read_tokens(spark, path, 6, 9).count() == 4
     file = next(tmp_path.glob("t/*.parquet"))
-    assert pq.ParquetFile(file).metadata.row_group(0).column(0).has_column_index
+    group = pq.ParquetFile(file).metadata.row_group(0)
+    columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+    assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+    assert all("DELTA_BINARY_PACKED" in c.encodings and not c.has_dictionary_page for n, c in columns.items() if not n.startswith("ids"))
+    assert "RLE_DICTIONARY" in columns["ids.list.element"].encodings
+
+
+def test_a_filter_skips_pages(spark, tmp_path):
+    """A file has many pages and row groups as wanted, and a filter on doc_id reads the rows of few of them."""
+    path = f"file://{tmp_path}/t"
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('word ', id) AS text").coalesce(1)
+    token_files.write_token_files(docs, path, BYTE, 0)
+    wanted = token_files.read_tokens(spark, path, 11_000, 11_004)
+    assert [r["doc_id"] for r in wanted.orderBy("doc_id").collect()] == list(range(11_000, 11_005))
+    plan = wanted._jdf.queryExecution().executedPlan()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,11000), LessThanOrEqual(doc_id,11004)]" in plan.toString()
+    rows, wanted_rows = [], wanted.select("doc_id")
+    wanted_rows.foreach(lambda r: None)
+    scans = [p for p in _nodes(wanted_rows._jdf.queryExecution().executedPlan()) if "Scan" in p.nodeName()]
+    for scan in scans:
+        rows.append(scan.metrics().apply("numOutputRows").value())
+    assert rows and sum(rows) < 8 * token_files.PAGE_ROWS
+
+
+def _nodes(plan):
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.executedPlan()
+    children = plan.children()
+    return [plan] + [x for i in range(children.size()) for x in _nodes(children.apply(i))]
 
 
 def test_empty_token_files(spark, tmp_path):
