@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     shared = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.config("spark.master", "local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
