@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulith.llm.common import documents, numbered, picked, text_runs, use_worker, written
+from tabulith.llm.common import documents, forget, numbered, picked, text_runs, use_worker, written
 from tabulith.llm.components import components
 
 #: Words of a shingle, seed of its hash, bits in which linked fingerprints may differ.
@@ -186,7 +186,10 @@ def _candidates(classes: DataFrame) -> DataFrame:
     ranked = shared.join(shared.groupBy("shape").agg(F.sum("n").alias("weight")), "shape")
     firsts = ranked.groupBy("key").agg(F.max(F.struct("weight", "shape"))["shape"].alias("most"), F.min("shape").alias("least"))
     met = shared.join(firsts, "key").select("shape", F.explode(F.array("most", "least")).alias("other")).select(F.col("other").alias("u"), F.col("shape").alias("v"))
-    return equal.unionByName(near).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+    found = equal.unionByName(near).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+    found = written(found, "candidates")
+    forget(classes.sparkSession, shared)
+    return found
 
 
 def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
@@ -199,7 +202,7 @@ def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, least: float
     rows = written(_sketched(docs, words), "sketches")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "version")
     classes = written(rows.groupBy("shape").agg(F.min(F.struct("fp", "keys")).alias("k"), F.min(place).alias("p")).select("shape", "k.*", "p.id", "p.version"), "classes")
-    pairs = written(_candidates(classes), "candidates")
+    pairs = _candidates(classes)
     wanted = pairs.select(F.col("u").alias("shape")).unionByName(pairs.select(F.col("v").alias("shape"))).distinct()
     wanted = written(classes.select("shape", *_key("id", "version")).join(wanted, "shape"), "wanted")
     few = wanted.count() <= BROADCAST_CANDIDATES  # then the texts stay where they are; beyond, both sides are shuffled
@@ -209,6 +212,7 @@ def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, least: float
     common = F.size(F.array_intersect("a", "b"))
     linked = both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
     roots = components(linked).withColumnsRenamed({"node": "shape"})
+    forget(docs.sparkSession, pairs, wanted, sets)
     return rows.select("id", "version", "shape").join(roots, "shape", "left").select("id", "version", F.coalesce("root", "shape").alias("root"))
 
 

@@ -106,6 +106,20 @@ def odd_rows(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, kept string, score double")
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, sf, name, stage):
+    """Null, empty and very long texts, repeated and null doc_ids, names that differ in case alone, and no rows."""
+    df = odd_rows(spark).toDF("doc_id", "text", "TEXT", "Doc_Id")
+    out = stage(spark, df, sf)
+    rows = out.collect()
+    if name == "packing":
+        assert sum(r["length"] for r in rows if r["start"] == 0 and r["length"] == r["doc_tokens"]) > 0 and len({r["sequence_id"] for r in rows}) >= 8
+        assert sum(r["start"] == 0 for r in rows) == 7
+    else:
+        assert out.columns == df.columns and 0 < len(rows) <= 7
+    assert stage(spark, df.limit(0), sf).count() == 0
+
+
 def test_quality_odd_rows(spark):
     df = odd_rows(spark)
     labels = spark.createDataFrame([(1, None, None), (None, 1, 0), (7, 1, 0), (7, 0, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
