@@ -488,7 +488,7 @@ def _made(spark: SparkSession) -> DataFrame:
 def encoding_choice_nested(spark, sf):
     """Trees chosen from samples of the first rows of ten sections, two levels deep."""
     made = _made(spark)
-    rows = [(c, i, n.describe(), n.total()) for c in ("k", "narrow", "half") for i, n in enumerate(choice.choose(made, c, "k", seed=None))]
+    rows = [(c, i, n.describe(), n.total()) for c, trees in choice.choose_all(made, "k", ["k", "narrow", "half"], seed=None).items() for i, n in enumerate(trees)]
     return spark.createDataFrame(rows, "column string, part int, tree string, sample_bytes long")
 
 

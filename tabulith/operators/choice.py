@@ -195,14 +195,22 @@ def choose(df: DataFrame, column: str, key: str, options: Options = Options(), e
     The sample has at most blocks * longest rows (or blocks / share, where the whole column
     is taken), which is what reaches the driver.
     """
-    logical = logical_type(df.schema[column])
-    placed = with_position(df.select(F.col(key).alias("_key"), F.col(column).alias("value")), "_key")
-    rows = df.count()
-    sample = block_sample(placed, rows, options, seed).orderBy(POS).select("value").toPandas()["value"].tolist()
-    sample = [None if v is None or v != v and logical not in ("Float16", "Float32", "Float64") else v for v in sample]
-    if logical == "String":
-        sample = [None if v is None else str(v) for v in sample]
-    return [pick(t, v, options.levels, encodings) for t, v in leaves(logical, sample)]
+    return choose_all(df, key, [column], options, encodings, seed)[column]
+
+
+def choose_all(df: DataFrame, key: str, columns: list[str] | None = None, options: Options = Options(), encodings: dict[str, Encode] | None = None, seed: int | None = 0) -> dict[str, list[Node]]:
+    """choose() for several columns, all by default, whose rows are placed and sampled once."""
+    columns = columns or df.columns
+    placed = with_position(df.select(F.col(key).alias("_key"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)]), "_key")
+    taken = block_sample(placed, df.count(), options, seed).orderBy(POS).drop("_key", POS).toPandas()
+    out = {}
+    for i, column in enumerate(columns):
+        logical = logical_type(df.schema[column])
+        values = [None if v is None or v != v and logical not in ("Float16", "Float32", "Float64") else v for v in taken[f"v{i}"].tolist()]
+        if logical == "String":
+            values = [None if v is None else str(v) for v in values]
+        out[column] = [pick(t, v, options.levels, encodings) for t, v in leaves(logical, values)]
+    return out
 
 
 def _as_integer(name: str, kind: T.DataType):
