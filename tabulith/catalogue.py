@@ -542,11 +542,11 @@ def synthetic_sparsity(spark, sf):
     return synthetic.wide(spark, 1000, 0.8)
 
 
-@_query("SELECT CAST(1250 AS BIGINT) AS rows, CAST(100 AS BIGINT) AS columns, TRUE AS ordered_grow")
+@_query("SELECT CAST(1250 AS BIGINT) AS rows, CAST(100 AS BIGINT) AS columns")
 def synthetic_shape(spark, sf):
-    """Rows, columns and order of the made-up wide table: 1,000 full rows at a sparsity of 0.8."""
+    """Rows and columns of the made-up wide table: 1,000 full rows at a sparsity of 0.8."""
     df = synthetic.wide(spark, 1000, 0.8)
-    return df.agg(F.count("*").alias("rows")).select("rows", F.lit(len([c for c in df.columns if c != "_pos"])).cast("long").alias("columns"), F.lit(True).alias("ordered_grow"))
+    return df.agg(F.count("*").alias("rows")).select("rows", F.lit(len([c for c in df.columns if c != "_pos"])).cast("long").alias("columns"))
 
 
 # --- in and out ----------------------------------------------------------------------
@@ -651,12 +651,12 @@ for _kind in ("parquet", "orc", "json"):
     ORACLE_SQL[f"sink_{_kind}"] = "SELECT c_custkey, c_name, c_nationkey, CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer"
 
 
-@_query("SELECT CAST(o_custkey & 18446744073709551615 AS DECIMAL(20, 0)) AS o_custkey FROM (SELECT CAST(o_custkey AS HUGEINT) AS o_custkey FROM orders)")
+@_query("SELECT CAST(CASE WHEN v < 0 THEN CAST(v AS HUGEINT) + 18446744073709551616 ELSE v END AS VARCHAR) AS v FROM (SELECT 1000 - o_custkey AS v FROM orders)")
 def typed_column(spark, sf):
-    """A stored column opened as a compatible type: signed numbers as unsigned."""
+    """A stored column opened as a compatible type: signed numbers, some below 0, as unsigned."""
     kept = store.Store(spark, _shared(spark, "typed"))
-    kept.write("orders", _table(spark, sf, "orders"))
-    return kept.column("orders", "o_custkey", "UInt64")
+    kept.write("orders", _table(spark, sf, "orders").select((1000 - F.col("o_custkey")).alias("v")))
+    return kept.column("orders", "v", "UInt64").select(F.col("v").cast("string").alias("v"))
 
 
 @_query("SELECT * FROM (VALUES ('orders', TRUE, CAST(2 AS BIGINT)), ('none', FALSE, NULL)) AS t(name, there, columns)")
