@@ -63,7 +63,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def archive(records: list[bytes]) -> bytes:
-    """The bytes of a file: the dictionary's frame, and a frame for each record."""
+    """The bytes of a file: the dictionary's frame, and a frame for each record; none without records."""
+    if not records:
+        return b""
     total = sum(map(len, records))
     step, size = max(1, -(-total // TRAINED_BYTES)), min(DICTIONARY_BYTES, max(1024, total // 10))
     try:

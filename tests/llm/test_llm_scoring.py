@@ -425,7 +425,7 @@ def test_pipeline(spark):
 
 def test_pipeline_against_brute_force(spark, sf):
     """Each stage on what its predecessor kept, by the definitions alone or by the operator's own verdicts."""
-    from test_llm_dedup import fingerprint, least_reached, line_brute
+    from test_llm_dedup import line_brute, similar_brute
     from test_llm_tokens import check_packed
 
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -448,9 +448,8 @@ def test_pipeline_against_brute_force(spark, sf):
     left = {k[0]: t for k, t in line_brute([(i, r["text"]) for i, r in here.items()], 25).items()}
     step("line dedup", {i: r | {"text": left[i], "n_chars": len(left[i])} for i, r in here.items()})
     here = rows(docs)
-    prints = {i: fingerprint(r["text"]) for i, r in here.items()}
-    reached = least_reached(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
-    step("simhash near-dedup", {i: r for i, r in here.items() if reached[i] == i})
+    firsts = similar_brute([(i, r["text"]) for i, r in here.items()])
+    step("simhash near-dedup", {i: r for i, r in here.items() if str((i, r["text"])) in firsts})
     here = rows(docs)
     check_packed(stages["packing"](spark, docs, sf).collect(), [(i, r["text"]) for i, r in here.items()], 4096, 2)
     assert corpus_pipeline.run(spark, sf).count() == stages["packing"](spark, docs, sf).count()
@@ -486,3 +485,17 @@ def test_written_tables_and_their_end(spark):
     common.forget(spark, kept)
     with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
         kept.collect()
+
+
+@pytest.mark.parametrize("n, size", [(1, 0), (1, 50), (3, 2000), (15, 10), (40, 800)])
+def test_every_archive_has_a_dictionary(n, size):
+    """Also one of few records, or of records too alike for training."""
+    rows = [(i, f"u{i}", b"x" * size, hashlib.sha1(b"x" * size).hexdigest(), None) for i in range(n)]
+    data = warc.archive([warc.record(*r) for r in rows])
+    assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE and int.from_bytes(data[4:8], "little") > 0
+    assert [warc.page(*x) for x in warc.parse(data)] == [(i, size, r[3], "response", None) for i, r in enumerate(rows)]
+
+
+def test_sharding_runs_no_python(spark, sf, capsys):
+    sharding.op5_sharding(spark, sf).explain()
+    assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
