@@ -19,6 +19,8 @@ from tabulith.llm.tokenizing import encoder, slices
 BLOCK_WINDOWS, LONGEST_PIECE, DEALT = 128, 1024, 0.9985
 #: Shorter pieces that follow each other are dealt out together until they have so many tokens; pieces from which a block ends early.
 BUNDLE, BLOCK_PIECES = 64, 65_536
+#: Words whose ids a worker remembers.
+MEMO_ENTRIES = 450_000
 
 
 def differencing(lengths: list[int], windows: int) -> list[int]:
@@ -156,7 +158,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 409
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_worker("packing")
-        enc = encoder(tokenizer, keeps_blanks=False)
+        enc = encoder(tokenizer, keeps_blanks=False, memo_entries=MEMO_ENTRIES)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity)
         held: dict[int, tuple] = {}  # documents with pieces that wait for a window
         number = 0

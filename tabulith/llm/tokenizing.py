@@ -193,11 +193,11 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 FORGET.append(_encoders.clear)
 
 
-def encoder(path: str, keeps_blanks: bool) -> Encoder:
+def encoder(path: str, keeps_blanks: bool, memo_entries: int = MEMO_ENTRIES) -> Encoder:
     """The encoder of this process; its memo lives as long as the worker."""
     key = (path, keeps_blanks)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, keeps_blanks)
+        _encoders[key] = Encoder(path, keeps_blanks, memo_entries)
     return _encoders[key]
 
 
