@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -110,6 +111,15 @@ def test_split_chunks_are_bounded_in_bytes(spark):
     assert {bytes(r["value"]) for r in split.decode(split.encode(raw, "v"), as_text=False).collect()} == {b"\xff\x00"}
 
 
+def test_split_time_grows_with_the_values(spark):
+    """One chunk of very many short values; cutting each from all of the chunk's bytes takes minutes."""
+    df = spark.range(250_000).selectExpr("id as _pos", "repeat(chr(CAST(97 + id % 26 AS INT)), CAST(id % 30 AS INT)) as v")
+    began = time.monotonic()
+    found = split.roundtrip(df, "v").join(df.withColumnRenamed("_pos", "value_pos"), "value_pos")
+    assert found.where("value = v").count() == 250_000
+    assert time.monotonic() - began < 40
+
+
 def test_positions_by_time(spark):
     df = spark.sql("SELECT timestampadd(SECOND, -id, timestamp'2020-01-01') AS t, id FROM range(50)")
     assert [r["id"] for r in position.with_position(df, "t", 8).orderBy("_pos").collect()] == list(range(49, -1, -1))
