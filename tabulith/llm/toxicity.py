@@ -50,8 +50,11 @@ SCALE_SHARE, SCALE_ROWS = 0.25, 20_000
 WRONG = 0.02
 #: Labels (a long and an int each) that are broadcast at most.
 BROADCAST_LABELS = 1_000_000
-#: Rows of the table of evidence at most, for words and for pairs (16 bytes a row in each worker), and the nats from which a row is stored.
+#: Rows of the table of evidence that each worker holds at most, for words and for pairs (16 bytes a row), and the nats from which a row
+#: is stored. Rows beyond, the light ones, are joined to the words that may have them.
 MOST_ROWS, LEAST_CHANGE = 2_000_000, 0.001
+#: Bits of the table by which a worker knows words, or pairs, that no light row is for.
+MARKS = 1 << 27
 #: Expressions that a task holds before it hands on what they add up to.
 HELD = 1_000_000
 #: Words whose hash a worker remembers; at the bound half of them go.
@@ -153,6 +156,26 @@ class Model:
         after = self._look_up(1, _pairs(ids, sizes))
         return np.where(np.isnan(after), alone, after)
 
+    def open_texts(self, column: pa.Array, marks: list[np.ndarray | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+        """Of runs of texts what the rows held here give, numbers of words, and for each text the words, and the pairs, that light rows may be for.
+
+        A pair that is held here has its evidence whole; any other has its word's, and what a
+        light row of the pair adds to it.
+        """
+        column = column.cast(pa.large_binary())
+        for a, b in text_runs(column, 2 << 20):
+            ids, sizes = _coded(column.slice(a, b - a))
+            pairs = _pairs(ids, sizes)
+            after, alone = self._look_up(1, pairs), self._look_up(0, ids)
+            total = np.concatenate([[0.0], np.cumsum(np.where(np.isnan(after), np.nan_to_num(alone), after))])
+            ends, of = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            lists = []
+            for which, keys, free in ((0, ids, np.isnan(alone)), (1, pairs, True)):
+                at = np.flatnonzero(np.isnan(after) & free & _marked(marks[which], keys))
+                until = np.concatenate([[0], np.cumsum(np.bincount(of[at], minlength=len(sizes)))]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(until), pa.array(keys[at].view(np.int64))))
+            yield total[ends] - total[ends - sizes], sizes, lists
+
     def texts(self, column: pa.Array) -> np.ndarray:
         """For each text the difference of its two log-likelihoods, divided by its words; 0 without words."""
         out, column = np.zeros(len(column)), column.cast(pa.large_binary())
@@ -164,8 +187,37 @@ class Model:
         return out
 
 
+def _marked(marks: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """Whether a light row may be for each key."""
+    if marks is None:
+        return np.zeros(len(keys), bool)
+    slots = (keys >> np.uint64(37) ^ keys) & np.uint64(MARKS - 1)
+    return marks[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def marks_of(light: DataFrame) -> DataFrame:
+    """pair, part, bits: the slots of all keys, which are made of hashes, as a table of bits in parts of 4 KB."""
+    slot = F.shiftrightunsigned("key", 37).bitwiseXOR(F.col("key")).bitwiseAND(F.lit(MARKS - 1)) + 1
+    return light.groupBy("pair", F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
 _models: dict[str, Model] = {}
-FORGET.extend([_models.clear, _ids.clear])
+_marks: dict[str, list[np.ndarray | None]] = {}
+FORGET.extend([_models.clear, _marks.clear, _ids.clear])
+
+
+def marks_at(path: str) -> list[np.ndarray | None]:
+    """The bits of words and of pairs in the files at path, from marks_of(); none where no key is marked."""
+    if path not in _marks:
+        files, folder = file_system(path)
+        table, found = pq.read_table(folder, filesystem=files), [None, None]
+        for pair, part, bits in zip(*(table[c].to_pylist() for c in ("pair", "part", "bits")), strict=True):
+            if found[pair] is None:
+                found[pair] = np.zeros(MARKS // 8, np.uint8)
+            found[pair][(part - 1) * len(bits) : part * len(bits)] = np.frombuffer(bits, np.uint8)
+        _marks.clear()
+        _marks[path] = found
+    return _marks[path]
 
 
 def model_at(path: str) -> Model:
@@ -180,10 +232,12 @@ def model_at(path: str) -> Model:
 
 @dataclass
 class Fitted:
-    """Where the table of evidence is, and the score's scale."""
+    """Where the table of evidence is, the score's scale, and where the light rows and their marks are, if there are any."""
 
     path: str
     scale: tuple[float, float, float]
+    light: str | None = None
+    marks: str | None = None
 
     def scores(self, column: pa.Array) -> np.ndarray:
         return score(model_at(self.path).texts(column), *self.scale)
@@ -273,34 +327,49 @@ def probabilities(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one, two.select("before", "word", both.alias("seen"), "toxic_p", "ordinary_p", F.log(c("toxic_one") / c("ordinary_one")).alias("alone"))
 
 
-def _heaviest(rows: DataFrame, most: int) -> DataFrame:
-    """pair, key, evidence of rows(.., change, seen): those with a change worth storing, and of more than `most` those that weigh most.
+def _classed(rows: DataFrame, most: int) -> tuple[DataFrame, int, bool]:
+    """Those of rows(.., change, seen) with a change worth storing, with a class of weight; the class from which they are heavy, `most` at most; and whether some are not.
 
     Weights are put into classes an eighth of a power of two wide; of the classes, a few
-    hundred rows, the driver learns which go.
+    hundred rows, the driver learns which are heavy.
     """
     rows = rows.where(F.abs("change") >= LEAST_CHANGE).withColumn("class", F.floor(8 * F.log2(F.abs("change") * F.col("seen"))))
-    rows = written(rows.select("pair", "key", "evidence", "class"), "evidence-classes")
-    held, least = 0, None
+    rows = written(rows.drop("change", "seen"), "evidence-classes")
+    held, least = 0, 2**31
     for r in sorted(rows.groupBy("class").count().collect(), reverse=True):
         held += r["count"]
         if held > most:
-            break
+            return rows, least, True
         least = r["class"]
-    return rows.where(F.col("class") >= (least if least is not None else 2**31)).drop("class")
+    return rows, least, False
 
 
-def weigh(counts: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+def _heaviest(rows: DataFrame, most: int) -> DataFrame:
+    """pair, key, evidence of those of rows(.., change, seen) that are heavy."""
+    rows, least, _ = _classed(rows, most)
+    return rows.where(F.col("class") >= least).drop("class")
+
+
+def weighed(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     """pair, key, evidence: ln of the toxic over the ordinary probability of words, and of words after words where it is another.
 
-    Words whose evidence, and pairs whose change of it, is under LEAST_CHANGE are left out,
-    and of more than `most` of either those whose change times their texts is least.
+    Words whose evidence, and pairs whose change of it, is under LEAST_CHANGE are left out.
+    Of more than `most` of either, those whose change times their texts is least are not
+    among these but light: pair, key, added, what a word, or a pair to its word's, adds.
     """
     one, two = probabilities(counts)
-    of = F.log(F.col("toxic_p") / F.col("ordinary_p"))
-    one = one.select(F.lit(False).alias("pair"), F.col("word").alias("key"), of.alias("evidence"), of.alias("change"), "seen")
-    two = two.select(F.lit(True).alias("pair"), F.shiftleft("before", 32).bitwiseOR(F.col("word")).alias("key"), of.alias("evidence"), (of - F.col("alone")).alias("change"), "seen")
-    return _heaviest(one, most).unionByName(_heaviest(two, most))
+    of, alone = F.log(F.col("toxic_p") / F.col("ordinary_p")), F.col("alone")
+    one = one.select(F.lit(False).alias("pair"), F.col("word").alias("key"), of.alias("evidence"), of.alias("added"), of.alias("change"), "seen")
+    stored = F.when(F.abs(alone) >= LEAST_CHANGE, alone).otherwise(0.0)
+    two = two.select(F.lit(True).alias("pair"), F.shiftleft("before", 32).bitwiseOR(F.col("word")).alias("key"), of.alias("evidence"), (of - stored).alias("added"), (of - alone).alias("change"), "seen")
+    (one, from_one, more_words), (two, from_two, more_pairs) = _classed(one, most), _classed(two, most)
+    heavy, light = (one.where(F.col("class") >= from_one).unionByName(two.where(F.col("class") >= from_two)), one.where(F.col("class") < from_one).unionByName(two.where(F.col("class") < from_two)))
+    return heavy.select("pair", "key", "evidence"), light.select("pair", "key", "added") if more_words or more_pairs else None
+
+
+def weigh(counts: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """The heavy rows of weighed()."""
+    return weighed(counts, most)[0]
 
 
 def fit_scale(x: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
@@ -358,24 +427,56 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Fitted:
     known = texts.join(F.broadcast(counted) if few else counted, ["doc_id", "digest"]).select("text", "toxic")
     path = fresh_path(spark, "evidence")
     counts = written(count_expressions(known), "expressions")
-    weigh(counts).write.option("compression", "zstd").parquet(path)
+    heavy, light = weighed(counts, MOST_ROWS)
+    heavy.write.option("compression", "zstd").parquet(path)
+    found = Fitted(path, (0.0, 0.0, 1.0))
+    if light is not None:
+        found.light, found.marks = fresh_path(spark, "light-evidence"), fresh_path(spark, "light-marks")
+        light.write.option("compression", "zstd").parquet(found.light)
+        marks_of(spark.read.parquet(found.light)).write.option("compression", "zstd").parquet(found.marks)
     forget(spark, counts)
     # SCALE_ROWS, about, bounds what is broadcast and comes to the driver
     chosen = labels.where(aside)
-    x = evidences(rows.where(aside).join(F.broadcast(chosen), "doc_id"), path).groupBy("doc_id").agg(F.min("x").alias("x"))
-    found = x.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
-    return Fitted(path, fit_scale(found["x"].to_numpy(float), found["toxic"].to_numpy() > 0))
+    x = evidences(rows.where(aside).join(F.broadcast(chosen), "doc_id"), found).groupBy("doc_id").agg(F.min("x").alias("x"))
+    known = x.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
+    found.scale = fit_scale(known["x"].to_numpy(float), known["toxic"].to_numpy() > 0)
+    return found
 
 
-def evidences(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and x, the text's evidence, of docs(doc_id, text)."""
+def evidences(docs: DataFrame, model: Fitted) -> DataFrame:
+    """doc_id, digest, a hash of the text, and x, the text's evidence, of docs(doc_id, text).
+
+    Where there are light rows, the words and pairs that may have one go by themselves, of
+    equal texts once, to be joined with them; no text is shuffled.
+    """
+    path, marks = model.path, model.marks
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_worker("toxicity")
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model_at(path).texts(batch.column(1)))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model_at(path).texts(batch.column(2)))], names=["doc_id", "digest", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x double")
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_worker("toxicity")
+        for batch in batches:
+            at = 0
+            for total, sizes, lists in model_at(path).open_texts(batch.column(2), marks_at(marks)):
+                own = [batch.column(k).slice(at, len(sizes)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(total), pa.array(sizes.astype(np.int64)), *lists], names=["doc_id", "digest", "total", "words", "ones", "twos"])
+                at += len(sizes)
+
+    if model.light is None:
+        return rows.mapInArrow(run, "doc_id long, digest long, x double")
+    held = written(rows.mapInArrow(parts, "doc_id long, digest long, total double, words long, ones array<long>, twos array<long>"), "open-texts")
+    once = held.where("size(ones) + size(twos) > 0").groupBy("digest").agg(F.first("ones").alias("ones"), F.first("twos").alias("twos"))
+    wanted = once.select("digest", F.lit(False).alias("pair"), F.explode("ones").alias("key")).unionByName(once.select("digest", F.lit(True).alias("pair"), F.explode("twos").alias("key")))
+    light = docs.sparkSession.read.parquet(model.light)
+    # added up in one order, whatever the order of the rows
+    added = F.aggregate(F.array_sort(F.collect_list("added")), F.lit(0.0), lambda a, b: a + b)
+    more = wanted.join(light, ["pair", "key"]).groupBy("digest").agg(added.alias("more"))
+    x = (F.col("total") + F.coalesce("more", F.lit(0.0))) / F.greatest("words", F.lit(1))
+    return held.join(more, "digest", "left").select("doc_id", "digest", x.alias("x"))
 
 
 def scored(docs: DataFrame, model: Fitted) -> DataFrame:
@@ -385,15 +486,17 @@ def scored(docs: DataFrame, model: Fitted) -> DataFrame:
     Rows with one doc_id are scored one by one; a null doc_id counts as held out. Empty
     input gives no rows; other columns are left out, and nothing but the text is scored.
     """
+    by_join, scale = model.light is not None, model.scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_worker("toxicity")
         for batch in batches:
-            x = model.scores(batch.column(1))
+            x = score(batch.column(1).to_numpy(), *scale) if by_join else model.scores(batch.column(1))
             out = [fold(i) == 1 for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_()), pa.array(x), pa.array((x >= TOXIC_FROM).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = evidences(rows, model).select("doc_id", "x") if by_join else rows
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -411,7 +514,19 @@ def filtered(docs: DataFrame, model: Fitted) -> DataFrame:
             yield batch.filter(pa.array(model.scores(batch.column(at)) < TOXIC_FROM))
 
     rows = numbered(docs)
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    if model.light is None:
+        return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    scale = model.scale
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["digest"]).filter(pa.array(score(batch.column(1).to_numpy(), *scale) >= TOXIC_FROM))
+
+    text = F.col(f"_{at}").cast("string")
+    found = evidences(rows.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), model).select("digest", "x")
+    toxic = written(found.mapInArrow(taken, "digest long").distinct(), "toxic-texts")
+    few = toxic.count() <= BROADCAST_LABELS  # then the texts stay where they are; beyond, they are shuffled
+    return rows.withColumn("digest", F.xxhash64(text)).join(F.broadcast(toxic) if few else toxic, "digest", "left_anti").drop("digest").toDF(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

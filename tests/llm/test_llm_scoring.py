@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -266,6 +267,28 @@ def test_labels_shuffled_or_broadcast(spark, monkeypatch, most):
     assert found == pytest.approx({i: found[i % 18] for i in found})
 
 
+@pytest.mark.parametrize("most", [0, 4, 40])
+def test_light_evidence_counts_too(spark, monkeypatch, most):
+    """How many rows of evidence a worker holds changes no score: what it doesn't hold is joined."""
+    rng = random.Random(5)
+    text = lambda i: " ".join(rng.choice(["vile", "foul", "you", "are"] if i % 2 and rng.random() < 0.6 else "a b c d e f g you are fine".split()) for _ in range(12))
+    rows = [(i, text(i)) for i in range(900)] + [(None, text(1)), (901, None), (902, ""), (3, text(3)), (903, "unknown words")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows + rows[:50]], "doc_id long, text string, TEXT string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "DOUBT", 1.0)
+    scores = lambda m: sorted((r["doc_id"] or -1, r["score"]) for r in toxicity.scored(docs, m).collect())
+    whole = toxicity.fit_model(docs, labels)
+    monkeypatch.setattr(toxicity, "MOST_ROWS", most)
+    parted = toxicity.fit_model(docs, labels)
+    assert whole.light is None and spark.read.parquet(parted.light).count() > 20 and spark.read.parquet(whole.path).count() > 80
+    assert [i for i, _ in scores(parted)] == [i for i, _ in scores(whole)]
+    assert [s for _, s in scores(parted)] == pytest.approx([s for _, s in scores(whole)], abs=1e-9)
+    for few in (10**6, 0):
+        monkeypatch.setattr(toxicity, "BROADCAST_LABELS", few)
+        kept = [sorted(map(str, toxicity.filtered(docs, m).collect())) for m in (whole, parted)]
+        assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
+
+
 def brute_shards(docs, shards):
     """The smallest capacity, from all single groups, and each group's shard in the same even cut."""
     groups = {}
