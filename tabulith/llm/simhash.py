@@ -169,50 +169,95 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("shape", F.col("text").cast("binary").alias("text")).mapInArrow(run, "shape long, shingles array<long>")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs u < v of shapes of classes(shape, fp, keys) that are worth a comparison.
+def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs u < v of shapes of classes(shape, fp, keys) that are compared first, and key, shape of groups whose other pairs are open.
 
     Fingerprints within RADIUS bits, and equal ones; and of the shapes that agree in a run
     of minima each with two of them, the one that shares most runs with most others, as the
     source of copies does, and the smallest. So a run that very many share gives no more
-    pairs than it has shapes, twice.
+    pairs than it has shapes, twice. Most of a group is linked by these; what they leave
+    open between shapes that are not is for _open_pairs().
     """
     of_fp = classes.groupBy("fp").agg(F.min("shape").alias("first"))
     equal = classes.join(of_fp, "fp").select(F.col("first").alias("u"), F.col("shape").alias("v"))
     ends = of_fp.select("fp", "first")
-    near = links(of_fp.select("fp")).join(ends.withColumnsRenamed({"fp": "u", "first": "a"}), "u").join(ends.withColumnsRenamed({"fp": "v", "first": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    close = written(links(of_fp.select("fp")), "close-fingerprints")
+    near = close.join(ends.withColumnsRenamed({"fp": "u", "first": "a"}), "u").join(ends.withColumnsRenamed({"fp": "v", "first": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     entries = classes.where("shape <> 0").select("shape", F.explode("keys").alias("key"))
     shared = written(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared-runs")
     ranked = shared.join(shared.groupBy("shape").agg(F.sum("n").alias("weight")), "shape")
-    firsts = ranked.groupBy("key").agg(F.max(F.struct("weight", "shape"))["shape"].alias("most"), F.min("shape").alias("least"))
+    firsts = written(ranked.groupBy("key").agg(F.max(F.struct("weight", "shape"))["shape"].alias("most"), F.min("shape").alias("least")), "firsts")
     met = shared.join(firsts, "key").select("shape", F.explode(F.array("most", "least")).alias("other")).select(F.col("other").alias("u"), F.col("shape").alias("v"))
     found = equal.unionByName(near).unionByName(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
     found = written(found, "candidates")
-    forget(classes.sparkSession, shared)
-    return found
+    others = shared.where("n > 3").join(firsts, "key").where("shape <> most and shape <> least").select("key", "shape")
+    others = others.unionByName(shared.where("n = 3").join(firsts.where("most = least"), "key").where("shape <> most").select("key", "shape"))
+    balls = classes.where("shape <> 0").join(components(close).withColumnsRenamed({"node": "fp", "root": "key"}), "fp", "left").select(F.coalesce("key", "fp").alias("key"), "shape")
+    balls = balls.join(balls.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key"), "key")
+    left = written(others.unionByName(balls), "open-groups")
+    forget(classes.sparkSession, shared, firsts, close)
+    return found, left
+
+
+def _open_pairs(left: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+    """Pairs u < v that may be similar, of all shapes in those groups of left(key, shape) that links have not brought together yet.
+
+    Exact: sets whose similarity is `least` or more share a shingle among the first
+    size - ceil(least * size) + 1 of each, in any one order; here rare shingles come first.
+    A pair goes too where the places of the shared shingle leave too few behind it, or where
+    both have one root (node, root of roots). So what is compared goes by rare shingles, not by
+    the sizes of the groups.
+    """
+    of = left.join(roots.withColumnsRenamed({"node": "shape"}), "shape", "left").select("key", "shape", F.coalesce("root", "shape").alias("root"))
+    mixed = of.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
+    shapes = written(of.join(mixed, "key").select("shape", "root").distinct(), "open-shapes")
+    if shapes.isEmpty():
+        return None
+    terms = sets.join(shapes, "shape").select("shape", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    common = terms.join(terms.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "s")  # the others come first, and join nothing
+    own = Window.partitionBy("shape")
+    place = F.row_number().over(own.orderBy("n", "s")) + F.col("size") - F.count("*").over(own)
+    first = common.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-6) + 1)
+    first = written(first.select("s", "shape", "root", "size", "place"), "first-shingles")
+    a, b = (first.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("shape", "root", "size", "place")]) for x in "ab")
+    needed = least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    behind = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    pairs = a.join(b, "s").where("shape_a < shape_b and root_a <> root_b").where((behind >= needed) & (F.least("size_a", "size_b") >= needed))
+    return written(pairs.select(F.col("shape_a").alias("u"), F.col("shape_b").alias("v")).distinct(), "open-pairs")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of pairs(u, v) whose sets have a similarity of at least `least`."""
+    both = pairs.join(sets.withColumnsRenamed({"shape": "v", "shingles": "b"}), "v").join(sets.withColumnsRenamed({"shape": "u", "shingles": "a"}), "u")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
 def similar_documents(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
     """id, version, root of every row of docs(id, version, text): rows with one root are near-duplicates of each other.
 
     Two texts are linked if their sets of shingles have a Jaccard similarity of at least
-    `least`, which is computed in full for every candidate (see _candidates()). Texts with
-    equal sets, null and wordless ones among them, are one class.
+    `least`, which is computed in full for every candidate: first for those of
+    _candidates(), then for all pairs of what shares a run of minima, or fingerprints within
+    the radius, and is not linked yet. Texts with equal sets, null and wordless ones among
+    them, are one class.
     """
     rows = written(_sketched(docs, words), "sketches")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "version")
     classes = written(rows.groupBy("shape").agg(F.min(F.struct("fp", "keys")).alias("k"), F.min(place).alias("p")).select("shape", "k.*", "p.id", "p.version"), "classes")
-    pairs = _candidates(classes)
+    pairs, left = _candidates(classes)
     wanted = pairs.select(F.col("u").alias("shape")).unionByName(pairs.select(F.col("v").alias("shape"))).distinct()
     wanted = written(classes.select("shape", *_key("id", "version")).join(wanted, "shape"), "wanted")
     few = wanted.count() <= BROADCAST_CANDIDATES  # then the texts stay where they are; beyond, both sides are shuffled
     texts = docs.select(*_key("id", "version"), "text").join(F.broadcast(wanted) if few else wanted, ["none", "at", "version"])
     sets = written(_sets(texts.select("shape", "text"), words).groupBy("shape").agg(F.first("shingles").alias("shingles")), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"shape": "v", "shingles": "b"}), "v").join(sets.withColumnsRenamed({"shape": "u", "shingles": "a"}), "u")
-    common = F.size(F.array_intersect("a", "b"))
-    linked = both.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
-    roots = components(linked).withColumnsRenamed({"node": "shape"})
-    forget(docs.sparkSession, pairs, wanted, sets)
+    roots = components(_linked(pairs, sets, least))
+    more = _open_pairs(left, roots, sets, least)
+    if more is not None:
+        stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = components(stars.unionByName(_linked(more, sets, least)))
+    roots = roots.withColumnsRenamed({"node": "shape"})
+    forget(docs.sparkSession, pairs, left, wanted, sets)
     return rows.select("id", "version", "shape").join(roots, "shape", "left").select("id", "version", F.coalesce("root", "shape").alias("root"))
 
 

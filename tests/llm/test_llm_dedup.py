@@ -131,6 +131,18 @@ def test_one_of_similar_documents_stays(spark, seed):
     assert sorted(str(tuple(r)) for r in found) == similar_brute(rows)
 
 
+def test_pairs_that_meet_only_others(spark):
+    """Texts whose shared runs all belong to a very large group are compared too, not only with its first ones."""
+    rng = random.Random(3)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    whole, rows = some(250), []
+    for _ in range(400):
+        own = f"{whole} {some(32)}"
+        rows += [f"{own} {some(31)}", f"{own} {some(31)}"]  # 0.82 alike, 0.80 at most to the whole, 0.66 to others
+    df = spark.createDataFrame(list(enumerate([whole, *rows])), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.stage(spark, df, "").collect()) == [0, *range(1, 801, 2)]
+
+
 def test_similar_documents_of_a_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = sorted(str((r["doc_id"], r["text"])) for r in simhash.stage(spark, docs, sf).collect())
